@@ -45,10 +45,16 @@ def nanos_to_timestamp(nanos: Column) -> Column:
     """Integer nanoseconds (as text) to a millisecond timestamp; missing,
     zero or non-integer input gives null."""
     n = nanos.try_cast("bigint")
-    ms = ((n - (n % F.lit(1_000_000))) / F.lit(1_000_000)).cast("bigint")
+    ms = int_div(n, 1_000_000)
     return F.when(n.isNull() | (n == 0), F.lit(None)).otherwise(F.timestamp_millis(ms))
 
 
+def int_div(c: Column, d: int) -> Column:
+    """Integral division truncating toward zero, exact for any bigint
+    (``/`` would go through double)."""
+    return ((c - (c % F.lit(d))).cast("decimal(38,0)") / F.lit(d)).cast("bigint")
+
+
 def nanos_is_bad(nanos: Column) -> Column:
     """True when a nanosecond field is present but not an integer."""
     return blank_to_null(nanos).isNotNull() & nanos.try_cast("bigint").isNull()
@@ -116,7 +122,7 @@ def seconds_to_micros(sec: Column) -> Column:
 
 def round_ratio(num: Column, den: int, scale: int) -> Column:
     """``round(num / den, scale)`` half away from zero, computed exactly in
-    integer arithmetic (``num`` integral, ``den`` > 0); returns double."""
+    integer arithmetic (``num`` integral, ``den`` > 0); decimal(38, scale)."""
     return _round_frac(num.cast("decimal(38,0)"), F.lit(den).cast("decimal(38,0)"), scale)
 
 
@@ -130,25 +136,25 @@ def clamp_gap(gap_us: Column, ceiling_us: int) -> Column:
 
 
 def pct(part: Column, whole: Column, scale: int = 1) -> Column:
-    """``round(100.0 * part / nullif(whole, 0), scale)`` exactly, as double."""
-    return F.when(whole == 0, F.lit(None).cast("double")).otherwise(
+    """``round(100.0 * part / nullif(whole, 0), scale)`` exactly."""
+    return F.when(whole == 0, F.lit(None)).otherwise(
         _round_frac(part.cast("decimal(38,0)") * F.lit(100), whole.cast("decimal(38,0)"), scale)
     )
 
 
 def _round_frac(num: Column, den: Column, scale: int) -> Column:
     """round(num/den, scale) half away from zero for integral num and positive
-    integral den columns; exact."""
+    integral den columns; exact, decimal(38, scale)."""
     factor = 10**scale
     top = (F.abs(num) * F.lit(2 * factor) + den).cast("decimal(38,0)")
     bottom = (den * F.lit(2)).cast("decimal(38,0)")
     q = ((top - (top % bottom)) / bottom).cast("decimal(38,0)")
     signed = F.when(num < 0, -q).otherwise(q)
-    return signed.cast("double") / F.lit(float(factor))
+    return (signed / F.lit(factor)).cast(f"decimal(38,{scale})")
 
 
 def ratio_at_least_one(num: Column, den: Column, scale: int = 2) -> Column:
-    """``round(num / greatest(den, 1), scale)`` exactly, as double."""
+    """``round(num / greatest(den, 1), scale)`` exactly."""
     return _round_frac(num.cast("decimal(38,0)"), F.greatest(den, F.lit(1)).cast("decimal(38,0)"), scale)
 
 

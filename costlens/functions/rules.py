@@ -50,6 +50,9 @@ SHORTSTAT_DELETIONS_PATTERN = r"([0-9]+) deletions?\(-\)"
 CI_STATUSES = ["success", "failure", "error", "pending", "cancelled"]
 CI_DEFAULT_CHECK = "default"
 
+# A landed line counts as blank when it holds only whitespace (JS trim set).
+BLANK_LINE_PATTERN = r"^[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]*$"
+
 # Ticket label on the time-split panel.
 LABEL_MAX = 50
 LABEL_KEEP = 49

@@ -1,10 +1,13 @@
 """Registered queries: one per inventory item, each calling the library.
 
 Every callable takes ``(spark, sf_dir)``, derives its inputs from the
-driver tables (``sources.fixtures``) and returns a DataFrame. ``present``
-normalises the result for the order-insensitive comparison with the
-DuckDB twin: decimals become doubles, timestamps become timezone-free
-timestamps and arrays become comma-joined text.
+driver tables (``sources.fixtures``) over whole tables and returns a
+DataFrame. ``present`` normalises the result for the order-insensitive
+comparison with the DuckDB twin (``plans.oracle``): decimals become
+doubles, timestamps become timezone-free and arrays comma-joined text.
+
+Two-batch items (merges, incremental refresh) split a table by time into
+an earlier and a later load; together the batches cover the whole table.
 """
 
 from __future__ import annotations
@@ -15,19 +18,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from costlens.config import EngineConfig, configure_session
-from costlens.operators import economics, rollup
-from costlens.plans import oracle
+from costlens.config import UNATTRIBUTED, EngineConfig, configure_session
+from costlens.functions import columns as C
+from costlens.operators import context, economics, hygiene, merge, privacy, rollup, signals
+from costlens.plans import oracle, panels
+from costlens.plans.refresh import refresh_rollups
 from costlens.sources import fixtures as fx
+from costlens.sources import otlp, records
 
 CFG = EngineConfig(salt=oracle.TEST_SALT)
-
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Batch boundaries for two-load items (fixed values shared with the oracle).
+EVENTS_SPLIT = oracle.EVENTS_SPLIT
+LINEITEM_SPLIT = oracle.LINEITEM_SPLIT
+ORDERS_SPLIT = oracle.ORDERS_SPLIT
+RANGE = (oracle.RANGE_FROM, oracle.RANGE_TO)
+ACTIVE_STATUSES = oracle.ACTIVE_STATUSES
+
 
 def present(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
+        if f.name.startswith("_"):
+            continue  # internal order keys
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DecimalType):
             c = c.cast("double")
@@ -39,19 +53,97 @@ def present(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-# ---- shared inputs ----------------------------------------------------------
+# ---- shared inputs -------------------------------------------------------------
 
-def _rollups(spark: SparkSession, sf: str) -> DataFrame:
-    return rollup.session_rollups(
-        fx.spans(spark, sf), fx.raw_events(spark, sf), CFG.ceiling_seconds, CFG.gap_bucket_seconds
-    )
+def _rollups(spark, sf):
+    return rollup.session_rollups(fx.spans(spark, sf), fx.raw_events(spark, sf), CFG.ceiling_seconds,
+                                  CFG.gap_bucket_seconds)
 
 
-def _tickets(spark: SparkSession, sf: str) -> DataFrame:
+def _tickets(spark, sf):
     return economics.ticket_rollup(_rollups(spark, sf), fx.issue_rows(spark, sf), fx.rate_config(spark), CFG.team)
 
 
-# ---- queries ------------------------------------------------------------------
+def _prompt_signal_rows(spark, sf):
+    """prompt payloads → hook signals → landed JSON → ingested rows."""
+    derived = signals.prompt_signals(fx.prompt_payloads(spark, sf)).withColumn("seq", F.monotonically_increasing_id())
+    return records.parse_prompt_signals(signals.as_json_lines(derived, "seq"), CFG).good
+
+
+def _tool_signal_rows(spark, sf):
+    derived = signals.tool_signals(fx.command_payloads(spark, sf)).withColumn("seq", F.monotonically_increasing_id())
+    return records.parse_tool_signals(signals.as_json_lines(derived, "seq"), CFG).good
+
+
+def _commit_rows(spark, sf, log=None):
+    log = log if log is not None else fx.commit_log(spark, sf)
+    derived = signals.commit_records(log).withColumn("seq", F.monotonically_increasing_id())
+    return records.parse_commit_records(signals.as_json_lines(derived, "seq"), CFG).good
+
+
+def _ci_rows(spark, sf):
+    return records.validate_ci(fx.ci_payloads(spark, sf).withColumn("seq", F.monotonically_increasing_id()))
+
+
+def _early(df, col, split):
+    return df.filter(F.col(col) < F.lit(split).cast("timestamp"))
+
+
+def _late(df, col, split):
+    return df.filter(F.col(col) >= F.lit(split).cast("timestamp"))
+
+
+# ---- sources ------------------------------------------------------------------------
+
+def s1_parse_spans(spark, sf):
+    good = otlp.parse_traces(fx.spans_as_trace_lines(spark, sf, CFG), CFG).good
+    return good.select("span_id", "trace_id", "session_id", "issue_key", "developer_id", "span_name", "span_kind",
+                       "start_ts", "end_ts", "duration_ms", "cost_usd")
+
+
+def s2_parse_events(spark, sf):
+    good = otlp.parse_logs(fx.events_as_log_lines(spark, sf, CFG), CFG).good
+    return good.select("session_id", "issue_key", "developer_id", "event_name", "ts", "tool_name", "full_command",
+                       "success", "cost_usd")
+
+
+def s3_commit_records(spark, sf):
+    return _commit_rows(spark, sf)
+
+
+def s4_prompt_signals(spark, sf):
+    return _prompt_signal_rows(spark, sf)
+
+
+def s5_tool_signals(spark, sf):
+    return _tool_signal_rows(spark, sf)
+
+
+def s6_issue_payloads(spark, sf):
+    good, _ = records.parse_issue_payloads(fx.issue_payloads(spark, sf), CFG)
+    return good.drop("_seq")
+
+
+def s7_ci_accepted(spark, sf):
+    good, _ = _ci_rows(spark, sf)
+    return good.drop("_seq")
+
+
+def s7_ci_rejected(spark, sf):
+    _, bad = _ci_rows(spark, sf)
+    return bad.groupBy("source", "reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def s10_quarantine(spark, sf):
+    """Landed logs where big purchases carry an uncastable cost, plus prose
+    lines (documents) that are not JSON at all."""
+    logs = fx.events_as_log_lines(spark, sf, CFG, bad_cost_over=40.0)
+    docs = fx.table(spark, sf, "documents").select(F.col("text").alias("value"), (F.col("doc_id") + 10**12).alias("seq"))
+    bad = otlp.parse_logs(logs.unionByName(docs), CFG).quarantine
+    return bad.groupBy("source", "reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# ---- core rollups ---------------------------------------------------------------------
 
 def c2_session_rollups(spark, sf):
     return _rollups(spark, sf)
@@ -61,12 +153,269 @@ def c3_ticket_rollup(spark, sf):
     return _tickets(spark, sf)
 
 
+def c4_refresh_rollups(spark, sf):
+    """Load 1 (first half of the month) then an incremental load 2: equals the full run."""
+    sp, ev = fx.spans(spark, sf), fx.raw_events(spark, sf)
+    sp1, ev1 = _early(sp, "start_ts", EVENTS_SPLIT), _early(ev, "ts", EVENTS_SPLIT)
+    sp2, ev2 = _late(sp, "start_ts", EVENTS_SPLIT), _late(ev, "ts", EVENTS_SPLIT)
+    first = refresh_rollups(None, sp1, ev1, sp1, ev1, CFG)
+    return refresh_rollups(first, sp, ev, sp2, ev2, CFG).drop("attribution_source")
+
+
+def u1_touched_sessions(spark, sf):
+    sp, ev = fx.spans(spark, sf), fx.raw_events(spark, sf)
+    return context.touched_sessions(_late(sp, "start_ts", EVENTS_SPLIT), _late(ev, "ts", EVENTS_SPLIT))
+
+
+def c8_missing_issue_keys(spark, sf):
+    return context.missing_issue_keys(fx.spans(spark, sf), fx.raw_events(spark, sf), _commit_rows(spark, sf),
+                                      fx.issue_rows(spark, sf))
+
+
+# ---- hygiene ---------------------------------------------------------------------------
+
+def a5_testing_discipline(spark, sf):
+    return hygiene.testing_discipline_daily(fx.raw_events(spark, sf))
+
+
+def a6_prompt_thrash(spark, sf):
+    return hygiene.prompt_thrash_by_session(fx.raw_events(spark, sf))
+
+
+def a7_subagent_fanout(spark, sf):
+    return hygiene.subagent_fanout_by_session(fx.spans_big(spark, sf))
+
+
+def a8_guardrail_blocks_daily(spark, sf):
+    return hygiene.guardrail_blocks_daily(fx.guardrail_blocks(spark, sf))
+
+
+def a9_prompt_intent_daily(spark, sf):
+    return hygiene.prompt_intent_daily(_prompt_signal_rows(spark, sf))
+
+
+def a10_tool_category_daily(spark, sf):
+    return hygiene.tool_category_daily(_tool_signal_rows(spark, sf))
+
+
+# ---- panels ------------------------------------------------------------------------------
+
+def p01_total_spend(spark, sf):
+    return panels.total_spend(_tickets(spark, sf))
+
+
+def p02_tickets_tracked(spark, sf):
+    return panels.tickets_tracked(_tickets(spark, sf))
+
+
+def p03_sessions_ingested(spark, sf):
+    return panels.sessions_ingested(_rollups(spark, sf))
+
+
+def p04_commits_correlated(spark, sf):
+    return panels.commits_correlated(merge.upsert_commits(None, _commit_rows(spark, sf), 1))
+
+
+def p05_cost_leaderboard(spark, sf):
+    return panels.cost_leaderboard(_tickets(spark, sf))
+
+
+def p06_time_split(spark, sf):
+    return panels.time_split(_tickets(spark, sf))
+
+
+def p07_testing_discipline(spark, sf):
+    return panels.testing_discipline(hygiene.testing_discipline_daily(fx.raw_events(spark, sf)), *RANGE)
+
+
+def p08_prompt_thrash(spark, sf):
+    return panels.thrash_by_day(hygiene.prompt_thrash_by_session(fx.raw_events(spark, sf)), _rollups(spark, sf), *RANGE)
+
+
+def p10_subagent_fanout(spark, sf):
+    big = fx.spans_big(spark, sf)
+    empty = fx.raw_events(spark, sf).limit(0)
+    roll = rollup.session_rollups(big, empty, CFG.ceiling_seconds, CFG.gap_bucket_seconds)
+    return panels.fanout_by_day(hygiene.subagent_fanout_by_session(big), roll, oracle.BIG_RANGE_FROM, oracle.BIG_RANGE_TO)
+
+
+def p11_guardrail_blocks(spark, sf):
+    return panels.guardrail_blocks(hygiene.guardrail_blocks_daily(fx.guardrail_blocks(spark, sf)), *RANGE)
+
+
+def p13_prompt_intent(spark, sf):
+    return panels.prompt_intent(hygiene.prompt_intent_daily(_prompt_signal_rows(spark, sf)), *RANGE)
+
+
+def p14_tool_category(spark, sf):
+    return panels.tool_category(hygiene.tool_category_daily(_tool_signal_rows(spark, sf)), *RANGE)
+
+
+def p15_mentions_tests(spark, sf):
+    return panels.mentions_tests_pct(hygiene.prompt_intent_daily(_prompt_signal_rows(spark, sf)), *RANGE)
+
+
+# ---- merges --------------------------------------------------------------------------------
+
+def _span_order():
+    return F.struct("session_id", "issue_key", "developer_id", "trace_id", "span_kind", "start_ts", "end_ts")
+
+
+def k1_spans_insert_ignore(spark, sf):
+    """Two loads of the lineitem spans; span ids repeat, first load wins,
+    then the smallest remaining columns."""
+    big = fx.spans_big(spark, sf).withColumn("_seq", _span_order())
+    b1, b2 = _early(big, "start_ts", LINEITEM_SPLIT), _late(big, "start_ts", LINEITEM_SPLIT)
+    t1 = merge.spans_to_append(None, b1)
+    return t1.unionByName(merge.spans_to_append(t1, b2))
+
+
+def k2_events_insert_ignore(spark, sf):
+    """Replaying turn events changes nothing; api requests re-sent without a
+    session are new rows every time."""
+    ev = fx.raw_events(spark, sf)
+    ev1 = ev.withColumn("_seq", F.col("event_id"))
+    replay = ev.filter(F.col("event_name").isin("user_prompt", "stop"))
+    orphans = ev.filter(F.col("event_name") == "api_request").withColumn("session_id", F.lit(None).cast("string"))
+    b2 = replay.unionByName(orphans).withColumn("_seq", F.col("event_id"))
+    t1 = merge.events_to_append(None, ev1)
+    out = t1.unionByName(merge.events_to_append(t1, b2))
+    return out.select("session_id", "issue_key", "developer_id", "event_name", "ts", "tool_name", "full_command",
+                      "success", "cost_usd")
+
+
+def k3_commit_upsert(spark, sf):
+    """Load 1: older commits. Load 2: newer commits, then large commits re-sent amended."""
+    rows = _commit_rows(spark, sf)
+    b1 = _early(rows, "committed_at", ORDERS_SPLIT)
+    newer = _late(rows, "committed_at", ORDERS_SPLIT).withColumn("_seq", F.struct(F.lit(0).alias("p"), F.col("_seq").alias("s")))
+    amended = rows.filter(F.col("insertions") >= 25).withColumn("subject", F.lit("amended")) \
+        .withColumn("_seq", F.struct(F.lit(1).alias("p"), F.col("_seq").alias("s")))
+    t1 = merge.upsert_commits(None, b1.withColumn("_seq", F.struct(F.lit(0).alias("p"), F.col("_seq").alias("s"))), 1)
+    return merge.upsert_commits(t1, newer.unionByName(amended), 2)
+
+
+def k4_register_developers(spark, sf):
+    logs = otlp.parse_logs(fx.events_as_log_lines(spark, sf, CFG), CFG)
+    commits_lines = signals.as_json_lines(
+        signals.commit_records(fx.commit_log(spark, sf)).withColumn("seq", F.monotonically_increasing_id()), "seq")
+    commits = records.parse_commit_records(commits_lines, CFG)
+    return merge.developers_to_append(None, [logs.identities, commits.identities], CFG.salt)
+
+
+def k7_issue_upsert(spark, sf):
+    """Load 2 re-sends the largest tickets as Done."""
+    payloads = fx.issue_payloads(spark, sf)
+    good1, _ = records.parse_issue_payloads(payloads, CFG)
+    t1 = merge.upsert_issues(None, good1, 1)
+    done = fx.issue_payloads(spark, sf, done_from_size=45)
+    good2, _ = records.parse_issue_payloads(done, CFG)
+    return merge.upsert_issues(t1, good2, 2)
+
+
+def k8_ci_upsert(spark, sf):
+    """Load 2 re-posts every pending run as success (same commit and check)."""
+    good1, _ = _ci_rows(spark, sf)
+    t1 = merge.upsert_ci_runs(None, good1, 1)
+    again = good1.filter(F.col("status") == "pending").withColumn("status", F.lit("success"))
+    return merge.upsert_ci_runs(t1, again, 2)
+
+
+def _suggestions(rollups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Suggestions for unattributed sessions (ticket from the developer number);
+    odd session numbers are confirmed, even ones rejected."""
+    un = rollups.filter(F.col("issue_key") == UNATTRIBUTED)
+    sugg = un.select(
+        F.concat(F.lit("g-"), F.col("session_id")).alias("suggestion_id"), "session_id",
+        F.concat(F.lit("PROJ-"), F.substring(F.col("developer_id"), 2, 10)).alias("suggested_issue_key"),
+        F.lit("pending").alias("status"), F.lit(None).cast("string").alias("reviewed_by"),
+        F.lit(None).cast("timestamp").alias("reviewed_at"),
+    )
+    num = F.substring(F.col("session_id"), 2, 20).cast("int")
+    dec = sugg.select("suggestion_id", F.when(num % 2 == 1, "confirmed").otherwise("rejected").alias("status"),
+                      F.lit("reviewer").alias("reviewed_by"), F.lit(1).alias("decided_seq"))
+    return sugg, dec
+
+
+def c9_apply_reviews(spark, sf):
+    r = _rollups(spark, sf).withColumn("attribution_source", F.lit("explicit"))
+    sugg, dec = _suggestions(r)
+    new_rollups, _ = merge.apply_reviews(r, sugg, dec, F.lit("2024-02-01").cast("timestamp"))
+    return new_rollups.select("session_id", "issue_key", "developer_id", "attribution_source")
+
+
+def k9_pinned_upsert(spark, sf):
+    """Load 1 → reviews pin some sessions → incremental load 2 keeps the pins."""
+    sp, ev = fx.spans(spark, sf), fx.raw_events(spark, sf)
+    sp1, ev1 = _early(sp, "start_ts", EVENTS_SPLIT), _early(ev, "ts", EVENTS_SPLIT)
+    first = refresh_rollups(None, sp1, ev1, sp1, ev1, CFG)
+    sugg, dec = _suggestions(first)
+    pinned, _ = merge.apply_reviews(first, sugg, dec)
+    return refresh_rollups(pinned, sp, ev, _late(sp, "start_ts", EVENTS_SPLIT), _late(ev, "ts", EVENTS_SPLIT), CFG)
+
+
+# ---- context joins -----------------------------------------------------------------------------
+
+def j9_commits_by_ticket(spark, sf):
+    return context.commits_by_ticket(_commit_rows(spark, sf), _rollups(spark, sf))
+
+
+def j10_ci_by_ticket(spark, sf):
+    good, _ = _ci_rows(spark, sf)
+    runs = merge.upsert_ci_runs(None, good, 1)
+    return context.ci_outcomes_by_ticket(runs, _commit_rows(spark, sf), _rollups(spark, sf))
+
+
+def j11_session_signal_mix(spark, sf):
+    return context.session_signal_mix(_rollups(spark, sf), _prompt_signal_rows(spark, sf), _tool_signal_rows(spark, sf))
+
+
+def j12_single_candidate(spark, sf):
+    roll = _rollups(spark, sf)
+    ids = fx.raw_events(spark, sf).select("developer_id").distinct().select(
+        "developer_id", F.concat(F.lit("u"), F.substring("developer_id", 2, 10), F.lit("@x.io")).alias("assignee_email"))
+    return context.single_candidate_suggestions(roll, ids, fx.issue_rows(spark, sf), ACTIVE_STATUSES)
+
+
+def p20_resolve_issue_key(spark, sf):
+    return context.resolve_issue_key(fx.session_starts(spark, sf)).select("launch_id", "issue_key", "issue_key_source")
+
+
+def p21_resolve_developer(spark, sf):
+    out = context.resolve_developer(fx.git_identities(spark, sf))
+    return out.select("identity_id", "raw_developer_id", "is_email", "developer_source",
+                      C.pseudonym(F.col("raw_developer_id"), CFG.salt).alias("developer_id"))
+
+
+def c11_pseudonymise(spark, sf):
+    safe, _ = privacy.pseudonymise(fx.commit_log(spark, sf), "author_email", CFG.salt)
+    return safe.select("commit_sha", "developer_id")
+
+
 _QUERIES: dict[str, Query] = {
-    "c2_session_rollups": c2_session_rollups,
-    "c3_ticket_rollup": c3_ticket_rollup,
+    f.__name__: f
+    for f in [
+        s1_parse_spans, s2_parse_events, s3_commit_records, s4_prompt_signals, s5_tool_signals, s6_issue_payloads,
+        s7_ci_accepted, s7_ci_rejected, s10_quarantine,
+        c2_session_rollups, c3_ticket_rollup, c4_refresh_rollups, u1_touched_sessions, c8_missing_issue_keys,
+        a5_testing_discipline, a6_prompt_thrash, a7_subagent_fanout, a8_guardrail_blocks_daily,
+        a9_prompt_intent_daily, a10_tool_category_daily,
+        p01_total_spend, p02_tickets_tracked, p03_sessions_ingested, p04_commits_correlated, p05_cost_leaderboard,
+        p06_time_split, p07_testing_discipline, p08_prompt_thrash, p10_subagent_fanout, p11_guardrail_blocks,
+        p13_prompt_intent, p14_tool_category, p15_mentions_tests,
+        k1_spans_insert_ignore, k2_events_insert_ignore, k3_commit_upsert, k4_register_developers, k7_issue_upsert,
+        k8_ci_upsert, c9_apply_reviews, k9_pinned_upsert,
+        j9_commits_by_ticket, j10_ci_by_ticket, j11_session_signal_mix, j12_single_candidate,
+        p20_resolve_issue_key, p21_resolve_developer, c11_pseudonymise,
+    ]
 }
 
 
+def raw_queries() -> dict[str, Query]:
+    """The library frames before presentation (for tests and the bench)."""
+    return dict(_QUERIES)
+
+
 def queries() -> dict[str, Query]:
     def wrap(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,7 +95,8 @@ def spans_big(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def issue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part becomes a ticket keyed PROJ-<2·partkey>: even keys resolve,
-    odd keys (and UNATTRIBUTED) stay without an issue row."""
+    odd keys (and UNATTRIBUTED) stay without an issue row. Only the largest
+    parts (size ≥ 49) have an assignee."""
     p = table(spark, sf_dir, "part")
     return p.select(
         F.concat(F.lit("PROJ-"), (F.col("p_partkey") * 2).cast("string")).alias("issue_key"),
@@ -103,19 +104,29 @@ def issue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_type").alias("status"),
         F.col("p_size").cast("decimal(38,6)").alias("story_points"),
         F.col("p_brand").alias("issue_type"),
-        F.concat(F.lit("u"), (F.col("p_partkey") % 12).cast("string"), F.lit("@x.io")).alias("assignee_email"),
+        _assignee().alias("assignee_email"),
     )
 
 
-def issue_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issue webhook bodies (``{"issue": {key, fields}}``) as JSON text."""
+def _assignee():
+    return F.when(F.col("p_size") >= 49,
+                  F.concat(F.lit("u"), (F.col("p_partkey") % 12).cast("string"), F.lit("@x.io")))
+
+
+def issue_payloads(spark: SparkSession, sf_dir: str, done_from_size: int | None = None) -> DataFrame:
+    """Issue webhook bodies (``{"issue": {key, fields}}``) as JSON text. With
+    ``done_from_size`` the tickets of parts at least that large are re-sent
+    with status Done (a later webhook)."""
     p = table(spark, sf_dir, "part")
+    status = F.col("p_type")
+    if done_from_size is not None:
+        p = p.filter(F.col("p_size") >= done_from_size)
+        status = F.lit("Done")
     fields = F.struct(
         F.col("p_name").alias("summary"),
-        F.struct(F.col("p_type").alias("name")).alias("status"),
+        F.struct(status.alias("name")).alias("status"),
         F.struct(F.col("p_brand").alias("name")).alias("issuetype"),
-        F.struct(F.concat(F.lit("u"), (F.col("p_partkey") % 12).cast("string"), F.lit("@x.io")).alias("emailAddress"))
-        .alias("assignee"),
+        F.when(_assignee().isNotNull(), F.struct(_assignee().alias("emailAddress"))).alias("assignee"),
         F.col("p_size").alias("customfield_10016"),
     )
     issue = F.struct(F.concat(F.lit("PROJ-"), (F.col("p_partkey") * 2).cast("string")).alias("key"), fields.alias("fields"))
@@ -186,6 +197,34 @@ def guardrail_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def session_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session launches (launch_id, issue_flag, branch) from part: every
+    fourth size carries an explicit ticket flag; branch names embed the
+    brand number, upper case (a ticket key) or lower case (not a key)."""
+    p = table(spark, sf_dir, "part")
+    brand = F.regexp_replace(F.col("p_brand"), "Brand#", "BR-")
+    branch = F.concat(F.lower(F.col("p_type")), F.lit("/"),
+                      F.when(F.col("p_size") % 3 == 0, F.lower(brand)).otherwise(brand), F.lit("-"),
+                      F.regexp_replace(F.col("p_name"), " ", "-"))
+    return p.select(
+        F.col("p_partkey").alias("launch_id"),
+        F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("OPS-"), F.col("p_partkey").cast("string"))).alias("issue_flag"),
+        branch.alias("branch"),
+    )
+
+
+def git_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Git identities (identity_id, git_email, git_name) from customer: some
+    have no e-mail, some neither e-mail nor name."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    return c.select(
+        k.alias("identity_id"),
+        F.when(k % 3 != 0, F.concat(F.lit("u"), (k % 12).cast("string"), F.lit("@x.io"))).alias("git_email"),
+        F.when(k % 5 != 0, F.col("c_name")).otherwise(F.lit("")).alias("git_name"),
+    )
+
+
 def rate_config(spark: SparkSession) -> DataFrame:
     from decimal import Decimal
 
@@ -196,14 +235,23 @@ def rate_config(spark: SparkSession) -> DataFrame:
 
 # ---- OTLP serialisation (round-trip fixtures) ---------------------------
 
+_SLOTS = ("stringValue", "intValue", "doubleValue", "boolValue", "arrayValue")
+
+
 def _kv(key: str, value, slot: str = "stringValue"):
-    return F.struct(F.lit(key).alias("key"), F.struct(value.alias(slot)).alias("value"))
+    slots = [(value if s == slot else F.lit(None)).cast("string").alias(s) for s in _SLOTS]
+    return F.struct(F.lit(key).alias("key"), F.struct(*slots).alias("value"))
 
 
-def events_as_log_lines(spark: SparkSession, sf_dir: str, cfg) -> DataFrame:
-    """The raw_events adapter written as OTLP log lines, one record per line."""
+def events_as_log_lines(spark: SparkSession, sf_dir: str, cfg, bad_cost_over: float | None = None) -> DataFrame:
+    """The raw_events adapter written as OTLP log lines, one record per line.
+    With ``bad_cost_over`` larger API costs are landed as text like ``$45.5``."""
     a = cfg.attributes
     ev = raw_events(spark, sf_dir)
+    cost_text = F.col("cost_usd").cast("double").cast("string")
+    if bad_cost_over is not None:
+        bad = (F.col("event_name") == "api_request") & (F.col("cost_usd") > F.lit(bad_cost_over))
+        cost_text = F.when(bad, F.concat(F.lit("$"), cost_text)).otherwise(cost_text)
     nanos = (F.unix_micros(F.col("ts")) * 1000).cast("string")
     resource = F.struct(F.array(
         _kv(a.issue_key, F.col("issue_key")),
@@ -216,7 +264,7 @@ def events_as_log_lines(spark: SparkSession, sf_dir: str, cfg) -> DataFrame:
         F.when(F.col("full_command").isNotNull(),
                _kv(a.tool_parameters, F.to_json(F.struct(F.col("full_command").alias("full_command"))))),
         _kv(a.success, F.col("success").cast("string"), "boolValue"),
-        _kv(a.cost_usd, F.col("cost_usd").cast("double").cast("string"), "doubleValue"),
+        _kv(a.cost_usd, cost_text, "doubleValue"),
     ))
     record = F.struct(nanos.alias("timeUnixNano"), attrs.alias("attributes"))
     doc = F.struct(F.array(F.struct(

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from costlens import schemas
 from costlens.config import EngineConfig
 from costlens.functions import columns as C
+from costlens.functions import rules
 
 CORRUPT = "_corrupt_record"
 
@@ -53,7 +54,7 @@ def _split_lines(lines: DataFrame, schema: T.StructType, source: str):
     with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
     parsed = (
         _with_seq(lines)
-        .filter(F.trim(F.col("value")) != "")
+        .filter(F.col("value").isNotNull() & ~F.col("value").rlike(rules.BLANK_LINE_PATTERN))
         .select("value", "seq", F.from_json("value", with_corrupt, {"columnNameOfCorruptRecord": CORRUPT}).alias("doc"))
     )
     bad = parsed.filter(F.col(f"doc.{CORRUPT}").isNotNull()).select(
