@@ -235,6 +235,12 @@ def rate_config(spark: SparkSession) -> DataFrame:
 
 # ---- OTLP serialisation (round-trip fixtures) ---------------------------
 
+def _as_landed(rows: DataFrame) -> DataFrame:
+    """Spread the rows to serialise like a directory of many landed files
+    would be (a driver table is one small file, i.e. one scan task)."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 _SLOTS = ("stringValue", "intValue", "doubleValue", "boolValue", "arrayValue")
 
 
@@ -271,7 +277,7 @@ def events_as_log_lines(spark: SparkSession, sf_dir: str, cfg, bad_cost_over: fl
         resource.alias("resource"),
         F.array(F.struct(F.array(record).alias("logRecords"))).alias("scopeLogs"),
     )).alias("resourceLogs"))
-    return ev.select(F.to_json(doc).alias("value"), F.col("event_id").alias("seq"))
+    return _as_landed(ev).select(F.to_json(doc).alias("value"), F.col("event_id").alias("seq"))
 
 
 def spans_as_trace_lines(spark: SparkSession, sf_dir: str, cfg) -> DataFrame:
@@ -294,4 +300,4 @@ def spans_as_trace_lines(spark: SparkSession, sf_dir: str, cfg) -> DataFrame:
         resource.alias("resource"),
         F.array(F.struct(F.array(span).alias("spans"))).alias("scopeSpans"),
     )).alias("resourceSpans"))
-    return sp.select(F.to_json(doc).alias("value"), F.col("span_id").alias("seq"))
+    return _as_landed(sp).select(F.to_json(doc).alias("value"), F.col("span_id").alias("seq"))

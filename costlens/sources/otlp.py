@@ -49,18 +49,23 @@ def _with_seq(lines: DataFrame) -> DataFrame:
     return lines.withColumn("seq", F.monotonically_increasing_id())
 
 
-def _split_lines(lines: DataFrame, schema: T.StructType, source: str):
-    """Blank lines are skipped; unparsable lines go to quarantine."""
+def _split_lines(lines: DataFrame, schema: T.StructType, source: str, exploded: bool = False):
+    """Parse lines; unparsable non-blank lines go to quarantine, blank lines
+    are skipped.
+
+    With ``exploded`` the caller explodes document arrays, which yields no
+    rows for blank or corrupt lines (their fields are null), so the good
+    side needs no line filter; a filter with ``from_json`` inside would
+    otherwise be pushed down to wherever the lines are produced."""
     with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    parsed = (
-        _with_seq(lines)
-        .filter(F.col("value").isNotNull() & ~F.col("value").rlike(rules.BLANK_LINE_PATTERN))
-        .select("value", "seq", F.from_json("value", with_corrupt, {"columnNameOfCorruptRecord": CORRUPT}).alias("doc"))
+    parsed = _with_seq(lines).select(
+        "value", "seq", F.from_json("value", with_corrupt, {"columnNameOfCorruptRecord": CORRUPT}).alias("doc")
     )
-    bad = parsed.filter(F.col(f"doc.{CORRUPT}").isNotNull()).select(
+    blank = F.col("value").isNull() | F.col("value").rlike(rules.BLANK_LINE_PATTERN)
+    bad = parsed.filter(F.col(f"doc.{CORRUPT}").isNotNull() & ~blank).select(
         F.lit(source).alias("source"), F.lit("malformed_line").alias("reason"), F.col("value").alias("raw")
     )
-    good = parsed.filter(F.col(f"doc.{CORRUPT}").isNull())
+    good = parsed if exploded else parsed.filter(F.col(f"doc.{CORRUPT}").isNull() & ~blank)
     return good, bad
 
 
@@ -95,7 +100,7 @@ def _identities(res: DataFrame) -> DataFrame:
 def parse_traces(lines: DataFrame, cfg: EngineConfig) -> Parsed:
     """Trace lines → ``raw_spans`` rows (+ ``_seq`` order key)."""
     a = cfg.attributes
-    docs, malformed = _split_lines(lines, schemas.TRACE_LINE, "traces")
+    docs, malformed = _split_lines(lines, schemas.TRACE_LINE, "traces", exploded=True)
     res = _resources(docs, "resourceSpans", cfg)
     spans = (
         res.select("*", F.posexplode(F.col("res.scopeSpans")).alias("si", "scope"))
@@ -150,7 +155,7 @@ def parse_traces(lines: DataFrame, cfg: EngineConfig) -> Parsed:
 def parse_logs(lines: DataFrame, cfg: EngineConfig) -> Parsed:
     """Log lines → ``raw_events`` rows (+ ``_seq`` order key)."""
     a = cfg.attributes
-    docs, malformed = _split_lines(lines, schemas.LOG_LINE, "logs")
+    docs, malformed = _split_lines(lines, schemas.LOG_LINE, "logs", exploded=True)
     res = _resources(docs, "resourceLogs", cfg)
     recs = (
         res.select("*", F.posexplode(F.col("res.scopeLogs")).alias("si", "scope"))
