@@ -43,7 +43,7 @@ def build_session() -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(CPUS * 2))
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "16g"))
         .config("spark.sql.adaptive.enabled", "true")
         .getOrCreate()
     )
@@ -80,8 +80,11 @@ def main() -> None:
             None, fx.spans_big(spark, sf).withColumn("_seq", F.struct("session_id", "trace_id", "start_ts"))),
         "big_fanout": lambda: hygiene.subagent_fanout_by_session(fx.spans_big(spark, sf)),
     }
+    only = [q for q in os.environ.get("BENCH_ONLY", "").split(",") if q]
     timings = {}
     for name, build in queries.items():
+        if only and name not in only:
+            continue
         build().write.format("noop").mode("overwrite").save()  # warm-up
         runs = []
         for _ in range(RUNS):

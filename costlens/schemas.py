@@ -21,12 +21,13 @@ SPAN = T.StructType([
     T.StructField("name", S), T.StructField("startTimeUnixNano", S), T.StructField("endTimeUnixNano", S),
     T.StructField("attributes", ATTRIBUTES),
 ])
-# ``spans`` is read twice: as raw JSON text (kept as raw_payload) and typed.
+# One typed parse per line; the raw span / record is re-serialised for
+# raw_payload (key order and spacing normalised, as a JSONB column would).
 TRACE_LINE = T.StructType([
     T.StructField("resourceSpans", T.ArrayType(T.StructType([
         T.StructField("resource", RESOURCE),
         T.StructField("scopeSpans", T.ArrayType(T.StructType([
-            T.StructField("spans", T.ArrayType(S)),
+            T.StructField("spans", T.ArrayType(SPAN)),
         ]))),
     ]))),
 ])
@@ -40,7 +41,7 @@ LOG_LINE = T.StructType([
     T.StructField("resourceLogs", T.ArrayType(T.StructType([
         T.StructField("resource", RESOURCE),
         T.StructField("scopeLogs", T.ArrayType(T.StructType([
-            T.StructField("logRecords", T.ArrayType(S)),
+            T.StructField("logRecords", T.ArrayType(LOG_RECORD)),
         ]))),
     ]))),
 ])

@@ -79,48 +79,79 @@ def _quarantine(df: DataFrame, source: str, checks: list[tuple[str, Column]], ra
     )
 
 
-def _resources(docs: DataFrame, array_field: str, cfg: EngineConfig) -> DataFrame:
+def _items(docs: DataFrame, resources: str, scopes: str, items: str, cfg: EngineConfig):
+    """resource → scope → item explosion; attribute maps are built once per
+    resource and once per item. Returns (items, identities)."""
     a = cfg.attributes
-    r = docs.select("seq", F.posexplode(F.col(f"doc.{array_field}")).alias("ri", "res"))
-    r = r.withColumn("rattrs", C.attr_map(F.col("res.resource.attributes")))
+    res = docs.select("seq", F.posexplode(F.col(f"doc.{resources}")).alias("ri", "res")).select(
+        "seq", "ri", F.col(f"res.{scopes}").alias("scopes"),
+        C.attr_map(F.col("res.resource.attributes")).alias("rattrs"),
+    )
     raw_dev = C.or_unattributed(F.col("rattrs")[a.developer_id])
-    return r.select(
-        "seq", "ri", "res", "rattrs",
-        C.or_unattributed(F.col("rattrs")[a.issue_key]).alias("issue_key"),
-        raw_dev.alias("raw_developer_id"),
-        C.pseudonym(raw_dev, cfg.salt).alias("developer_id"),
+    identities = res.select(
+        "seq", "ri", raw_dev.alias("raw_developer_id"),
         C.blank_to_null(F.col("rattrs")[a.developer_email]).alias("developer_email"),
     )
+    out = (
+        res.select("seq", "ri", "rattrs", F.posexplode("scopes").alias("si", "scope"))
+        .select("seq", "ri", "rattrs", "si", F.posexplode(F.col(f"scope.{items}")).alias("pi", "item"))
+        .select("seq", "ri", "si", "pi", "rattrs", "item", C.attr_map(F.col("item.attributes")).alias("attrs"))
+    )
+    return out, identities
 
 
-def _identities(res: DataFrame) -> DataFrame:
-    return res.select("seq", "ri", "raw_developer_id", "developer_email")
+def _resource_columns(cfg: EngineConfig) -> list[Column]:
+    a = cfg.attributes
+    raw_dev = C.or_unattributed(F.col("rattrs")[a.developer_id])
+    return [
+        C.first_present(F.col("rattrs")[a.wrapper_session_id], F.col("attrs")[a.session_id],
+                        F.col("rattrs")[a.session_id]).alias("session_id"),
+        C.blank_to_null(F.col("attrs")[a.prompt_id]).alias("prompt_id"),
+        C.or_unattributed(F.col("rattrs")[a.issue_key]).alias("issue_key"),
+        C.pseudonym(raw_dev, cfg.salt).alias("developer_id"),
+    ]
+
+
+def _reason(checks: list[tuple[str, Column]]) -> Column:
+    reason = None
+    for name, failed in checks:
+        reason = F.when(failed, F.lit(name)) if reason is None else reason.when(failed, F.lit(name))
+    return reason
+
+
+def _split_rows(rows: DataFrame, source: str, malformed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    good = rows.filter(F.col("_reason").isNull()).drop("_reason")
+    bad = rows.filter(F.col("_reason").isNotNull()).select(
+        F.lit(source).alias("source"), F.col("_reason").alias("reason"), F.col("raw_payload").alias("raw")
+    )
+    return good, bad.unionByName(malformed)
 
 
 def parse_traces(lines: DataFrame, cfg: EngineConfig) -> Parsed:
     """Trace lines → ``raw_spans`` rows (+ ``_seq`` order key)."""
     a = cfg.attributes
     docs, malformed = _split_lines(lines, schemas.TRACE_LINE, "traces", exploded=True)
-    res = _resources(docs, "resourceSpans", cfg)
-    spans = (
-        res.select("*", F.posexplode(F.col("res.scopeSpans")).alias("si", "scope"))
-        .select("*", F.posexplode(F.col("scope.spans")).alias("pi", "span_json"))
-        .withColumn("span", F.from_json("span_json", schemas.SPAN))
-        .withColumn("attrs", C.attr_map(F.col("span.attributes")))
-    )
+    spans, identities = _items(docs, "resourceSpans", "scopeSpans", "spans", cfg)
+    sp = lambda f: F.col(f"item.{f}")
     cost, tin, tout = (F.col("attrs")[k] for k in (a.cost_usd, a.input_tokens, a.output_tokens))
-    start = C.nanos_to_timestamp(F.col("span.startTimeUnixNano"))
-    end = C.nanos_to_timestamp(F.col("span.endTimeUnixNano"))
+    start, end = C.nanos_to_timestamp(sp("startTimeUnixNano")), C.nanos_to_timestamp(sp("endTimeUnixNano"))
+    checks = [
+        ("bad_time", C.nanos_is_bad(sp("startTimeUnixNano")) | C.nanos_is_bad(sp("endTimeUnixNano"))),
+        ("missing_time", start.isNull() | end.isNull()),
+        ("missing_span_id", C.blank_to_null(sp("spanId")).isNull()),
+        ("missing_trace_id", sp("traceId").isNull()),
+        ("missing_name", sp("name").isNull()),
+        ("bad_cost", C.number_is_bad(cost, "decimal(12,6)")),
+        ("bad_tokens", C.number_is_bad(tin, "bigint") | C.number_is_bad(tout, "bigint")),
+    ]
+    rest = _resource_columns(cfg)
     rows = spans.select(
-        F.col("span.spanId").alias("span_id"),
-        C.blank_to_null(F.col("span.parentSpanId")).alias("parent_span_id"),
-        F.col("span.traceId").alias("trace_id"),
-        C.first_present(F.col("rattrs")[a.wrapper_session_id], F.col("attrs")[a.session_id],
-                        F.col("rattrs")[a.session_id]).alias("session_id"),
-        C.blank_to_null(F.col("attrs")[a.prompt_id]).alias("prompt_id"),
-        "issue_key", "developer_id",
-        F.col("span.name").alias("span_name"),
-        C.span_kind(F.col("span.name")).alias("span_kind"),
+        sp("spanId").alias("span_id"),
+        C.blank_to_null(sp("parentSpanId")).alias("parent_span_id"),
+        sp("traceId").alias("trace_id"),
+        rest[0], rest[1], rest[2], rest[3],
+        sp("name").alias("span_name"),
+        C.span_kind(sp("name")).alias("span_kind"),
         C.blank_to_null(F.col("attrs")[a.tool_name]).alias("tool_name"),
         start.alias("start_ts"),
         end.alias("end_ts"),
@@ -128,50 +159,32 @@ def parse_traces(lines: DataFrame, cfg: EngineConfig) -> Parsed:
         C.number_or_zero(cost, "decimal(12,6)").alias("cost_usd"),
         C.number_or_zero(tin, "bigint").alias("input_tokens"),
         C.number_or_zero(tout, "bigint").alias("output_tokens"),
-        F.col("span_json").alias("raw_payload"),
+        F.to_json(F.col("item")).alias("raw_payload"),
         F.struct("seq", "ri", "si", "pi").alias("_seq"),
-        C.nanos_is_bad(F.col("span.startTimeUnixNano")).alias("_bad_start"),
-        C.nanos_is_bad(F.col("span.endTimeUnixNano")).alias("_bad_end"),
-        C.number_is_bad(cost, "decimal(12,6)").alias("_bad_cost"),
-        (C.number_is_bad(tin, "bigint") | C.number_is_bad(tout, "bigint")).alias("_bad_tokens"),
+        _reason(checks).alias("_reason"),
     )
-    checks = [
-        ("bad_time", F.col("_bad_start") | F.col("_bad_end")),
-        ("missing_time", F.col("start_ts").isNull() | F.col("end_ts").isNull()),
-        ("missing_span_id", C.blank_to_null(F.col("span_id")).isNull()),
-        ("missing_trace_id", F.col("trace_id").isNull()),
-        ("missing_name", F.col("span_name").isNull()),
-        ("bad_cost", F.col("_bad_cost")),
-        ("bad_tokens", F.col("_bad_tokens")),
-    ]
-    flagged = None
-    for _, cond in checks:
-        flagged = cond if flagged is None else (flagged | cond)
-    good = rows.filter(~flagged).drop("_bad_start", "_bad_end", "_bad_cost", "_bad_tokens")
-    bad = _quarantine(rows, "traces", checks, "raw_payload").unionByName(malformed)
-    return Parsed(good, bad, _identities(res))
+    good, bad = _split_rows(rows, "traces", malformed)
+    return Parsed(good, bad, identities)
 
 
 def parse_logs(lines: DataFrame, cfg: EngineConfig) -> Parsed:
     """Log lines → ``raw_events`` rows (+ ``_seq`` order key)."""
     a = cfg.attributes
     docs, malformed = _split_lines(lines, schemas.LOG_LINE, "logs", exploded=True)
-    res = _resources(docs, "resourceLogs", cfg)
-    recs = (
-        res.select("*", F.posexplode(F.col("res.scopeLogs")).alias("si", "scope"))
-        .select("*", F.posexplode(F.col("scope.logRecords")).alias("pi", "rec_json"))
-        .withColumn("rec", F.from_json("rec_json", schemas.LOG_RECORD))
-        .withColumn("attrs", C.attr_map(F.col("rec.attributes")))
-    )
+    recs, identities = _items(docs, "resourceLogs", "scopeLogs", "logRecords", cfg)
     cost, tin, tout = (F.col("attrs")[k] for k in (a.cost_usd, a.input_tokens, a.output_tokens))
-    ts = C.nanos_to_timestamp(F.col("rec.timeUnixNano"))
+    ts = C.nanos_to_timestamp(F.col("item.timeUnixNano"))
+    checks = [
+        ("bad_time", C.nanos_is_bad(F.col("item.timeUnixNano"))),
+        ("missing_time", ts.isNull()),
+        ("bad_cost", C.number_is_bad(cost, "decimal(12,6)")),
+        ("bad_tokens", C.number_is_bad(tin, "bigint") | C.number_is_bad(tout, "bigint")),
+    ]
+    order = F.struct("seq", "ri", "si", "pi")
     rows = recs.select(
-        F.sha2(F.concat_ws("/", F.to_json(F.struct("seq", "ri", "si", "pi"))), 256).substr(1, 32).alias("event_id"),
-        C.first_present(F.col("rattrs")[a.wrapper_session_id], F.col("attrs")[a.session_id],
-                        F.col("rattrs")[a.session_id]).alias("session_id"),
-        C.blank_to_null(F.col("attrs")[a.prompt_id]).alias("prompt_id"),
-        "issue_key", "developer_id",
-        C.first_present(F.col("attrs")[a.event_name], F.col("rec.body.stringValue"), F.lit("unknown")).alias("event_name"),
+        F.sha2(F.to_json(order), 256).substr(1, 32).alias("event_id"),
+        *_resource_columns(cfg),
+        C.first_present(F.col("attrs")[a.event_name], F.col("item.body.stringValue"), F.lit("unknown")).alias("event_name"),
         ts.alias("ts"),
         C.blank_to_null(F.col("attrs")[a.tool_name]).alias("tool_name"),
         C.full_command(F.col("attrs")[a.tool_parameters]).alias("full_command"),
@@ -180,21 +193,9 @@ def parse_logs(lines: DataFrame, cfg: EngineConfig) -> Parsed:
         C.number_or_zero(cost, "decimal(12,6)").alias("cost_usd"),
         C.number_or_zero(tin, "bigint").alias("input_tokens"),
         C.number_or_zero(tout, "bigint").alias("output_tokens"),
-        F.col("rec_json").alias("raw_payload"),
-        F.struct("seq", "ri", "si", "pi").alias("_seq"),
-        C.nanos_is_bad(F.col("rec.timeUnixNano")).alias("_bad_time"),
-        C.number_is_bad(cost, "decimal(12,6)").alias("_bad_cost"),
-        (C.number_is_bad(tin, "bigint") | C.number_is_bad(tout, "bigint")).alias("_bad_tokens"),
+        F.to_json(F.col("item")).alias("raw_payload"),
+        order.alias("_seq"),
+        _reason(checks).alias("_reason"),
     )
-    checks = [
-        ("bad_time", F.col("_bad_time")),
-        ("missing_time", F.col("ts").isNull()),
-        ("bad_cost", F.col("_bad_cost")),
-        ("bad_tokens", F.col("_bad_tokens")),
-    ]
-    flagged = None
-    for _, cond in checks:
-        flagged = cond if flagged is None else (flagged | cond)
-    good = rows.filter(~flagged).drop("_bad_time", "_bad_cost", "_bad_tokens")
-    bad = _quarantine(rows, "logs", checks, "raw_payload").unionByName(malformed)
-    return Parsed(good, bad, _identities(res))
+    good, bad = _split_rows(rows, "logs", malformed)
+    return Parsed(good, bad, identities)
