@@ -1,0 +1 @@
+"""Sinks: Parquet tables with replay-safe write modes."""
