@@ -55,6 +55,11 @@ def missing_issue_keys(spans: DataFrame, events: DataFrame, commits: DataFrame,
     return seen.join(issues.select("issue_key"), "issue_key", "left_anti")
 
 
+def unattributed_sessions(rollups: DataFrame) -> DataFrame:
+    """F8: sessions costed without a ticket — the follow-up list."""
+    return rollups.filter(F.col("issue_key") == UNATTRIBUTED).select("session_id", "developer_id", "token_cost_usd")
+
+
 def touched_sessions(*frames: DataFrame) -> DataFrame:
     """U1: distinct non-null session ids of new rows."""
     out = None

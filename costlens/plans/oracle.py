@@ -302,6 +302,14 @@ group by 1, 2"""),
   union all select session_id from raw_events where ts >= timestamp {q(EVENTS_SPLIT)}) s where session_id is not null"""),
         "c8_missing_issue_keys": (["spans", "raw_events", "commit_rows", "issues"], """select distinct issue_key from (
   select issue_key from spans union all select issue_key from raw_events union all select issue_key from commit_rows) s
+where issue_key is not null and issue_key <> 'UNATTRIBUTED'
+  and not exists (select 1 from issues i where i.issue_key = s.issue_key)"""),
+        "f8_unattributed_sessions": (["session_rollups"], """select session_id, developer_id,
+  cast(token_cost_usd as double) as token_cost_usd from session_rollups where issue_key = 'UNATTRIBUTED'"""),
+        "f10_missing_since": (["spans", "raw_events", "commit_rows", "issues"], f"""select distinct issue_key from (
+  select issue_key from spans where start_ts >= timestamp {q(EVENTS_SPLIT)}
+  union all select issue_key from raw_events where ts >= timestamp {q(EVENTS_SPLIT)}
+  union all select issue_key from commit_rows where committed_at >= timestamp {q(ORDERS_SPLIT)}) s
 where issue_key is not null and issue_key <> 'UNATTRIBUTED'
   and not exists (select 1 from issues i where i.issue_key = s.issue_key)"""),
         # hygiene

@@ -172,6 +172,20 @@ def c8_missing_issue_keys(spark, sf):
                                       fx.issue_rows(spark, sf))
 
 
+def f8_unattributed_sessions(spark, sf):
+    return context.unattributed_sessions(_rollups(spark, sf))
+
+
+def f10_missing_since(spark, sf):
+    """Missing tickets among rows of the second load only (load id > watermark 1)."""
+    def load(df, col, split):
+        return df.withColumn("load", F.when(F.col(col) < F.lit(split).cast("timestamp"), 1).otherwise(2))
+    return context.missing_issue_keys(
+        load(fx.spans(spark, sf), "start_ts", EVENTS_SPLIT), load(fx.raw_events(spark, sf), "ts", EVENTS_SPLIT),
+        load(_commit_rows(spark, sf), "committed_at", ORDERS_SPLIT), fx.issue_rows(spark, sf),
+        since=1, since_col="load")
+
+
 # ---- hygiene ---------------------------------------------------------------------------
 
 def a5_testing_discipline(spark, sf):
@@ -398,6 +412,7 @@ _QUERIES: dict[str, Query] = {
         s1_parse_spans, s2_parse_events, s3_commit_records, s4_prompt_signals, s5_tool_signals, s6_issue_payloads,
         s7_ci_accepted, s7_ci_rejected, s10_quarantine,
         c2_session_rollups, c3_ticket_rollup, c4_refresh_rollups, u1_touched_sessions, c8_missing_issue_keys,
+        f8_unattributed_sessions, f10_missing_since,
         a5_testing_discipline, a6_prompt_thrash, a7_subagent_fanout, a8_guardrail_blocks_daily,
         a9_prompt_intent_daily, a10_tool_category_daily,
         p01_total_spend, p02_tickets_tracked, p03_sessions_ingested, p04_commits_correlated, p05_cost_leaderboard,

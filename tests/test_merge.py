@@ -97,3 +97,10 @@ def test_first_wins_hot_key_is_partial_aggregate(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "partial_min" in plan.replace(" ", "")
     assert out.filter(F.col("span_id") == "hot").count() == 1
+
+
+def test_duplicate_emails_reported(spark):
+    devs = spark.createDataFrame([("a", "x@y.io", None), ("b", "x@y.io", None), ("c", None, "n")],
+                                 "developer_id string, git_email string, display_name string")
+    out = merge.duplicate_emails(devs).collect()
+    assert [(r["git_email"], r["developer_ids"]) for r in out] == [("x@y.io", 2)]

@@ -60,3 +60,34 @@ def test_batch_replay_is_idempotent(spark, cfg, tmp_path):
     again = sorted(tuple(r) for r in store.read_rollups().select(*COLS).collect())
     assert first == again
     assert store.read("raw_events").count() == fx.raw_events(spark, SF_SMALL).count()
+
+
+def test_all_kinds_land_and_merge(spark, cfg, tmp_path):
+    from costlens.operators import signals
+    from costlens.sinks.jsonl import write_jsonl
+
+    root = str(tmp_path)
+    landing, scratch = f"{root}/landing", local_scratch(root)
+    commits = signals.commit_records(fx.commit_log(spark, SF_SMALL))
+    write_jsonl(commits, f"{landing}/git_commits", 0)
+    write_jsonl(signals.prompt_signals(fx.prompt_payloads(spark, SF_SMALL)), f"{landing}/prompt_signals", 0)
+    write_jsonl(signals.tool_signals(fx.command_payloads(spark, SF_SMALL)), f"{landing}/tool_signals", 0)
+    write_jsonl(fx.ci_payloads(spark, SF_SMALL), f"{landing}/ci", 0)
+    issues = fx.issue_payloads(spark, SF_SMALL)
+    issues.select("value").write.text(f"{landing}/issues/batch=0")
+    store = TableStore(spark, f"{root}/tables", rollup_buckets=4)
+    ingest.run_full(spark, landing, store, cfg, scratch)
+
+    assert store.read_version("git_commits").count() == commits.count()
+    assert store.read("prompt_signals").count() == signals.prompt_signals(fx.prompt_payloads(spark, SF_SMALL)).count()
+    assert store.read_version("issues").count() == issues.count()
+    ci = store.read_version("ci_runs")
+    assert ci.filter(F.col("status") == "passed").count() == 0 and ci.count() > 0
+    q = store.read("quarantine")
+    assert q.filter(F.col("reason") == "bad_status").count() > 0
+    devs = store.read("developers")
+    assert devs.count() > 0 and devs.filter(F.col("git_email").isNull() & F.col("display_name").isNull()).count() == 0
+
+
+def test_missing_landing_is_empty(spark):
+    assert ingest.landed_lines(spark, "/tmp/costlens-no-such-folder-xyz").count() == 0
