@@ -49,6 +49,12 @@ class EngineConfig:
     story_points_field: str = "customfield_10016"
     attributes: AttributeNames = field(default_factory=AttributeNames)
 
+    def __post_init__(self) -> None:
+        if not self.salt:
+            raise ValueError("salt is required")
+        if 86400 % self.gap_bucket_seconds:
+            raise ValueError("gap_bucket_seconds must divide a day (slices never span two days)")
+
 
 # Runtime SQL settings the engine relies on. All are session-scoped.
 SESSION_SETTINGS = {

@@ -4,13 +4,16 @@ Plain Parquet has no MERGE, so three write modes cover the merge
 semantics, each safe to replay for the same batch id:
 
 * append tables (raw spans/events, signals, quarantine, developers) are
-  partitioned by ``batch``; a batch overwrites only its own partition.
+  partitioned by ``batch`` (raw spans/events by ``day`` of event time, then
+  ``batch``); a batch overwrites only its own partitions, and reads that
+  only need some days prune the rest.
 * upsert tables (commits, issues, CI runs) are rewritten whole by the
   merge operators into ``version=<batch id>``; readers take the newest
   complete version below the batch being written.
-* ``session_rollups`` is partitioned by ``bucket = pmod(xxhash64(session_id), n)``;
-  a refresh rewrites only the buckets holding touched sessions (dynamic
-  partition overwrite of a frame cut from its lineage first).
+* ``session_rollups`` and the slice state ``session_slices`` are
+  partitioned by ``bucket = pmod(xxhash64(session_id), n)``; a refresh
+  rewrites only the buckets holding touched sessions (dynamic partition
+  overwrite of a frame cut from its lineage first).
 """
 
 from __future__ import annotations
@@ -53,10 +56,22 @@ class TableStore:
             df = self.spark.createDataFrame([], schema).withColumn("batch", F.lit(None).cast("long"))
         return df
 
-    def write_batch(self, name: str, df: DataFrame, batch_id: int) -> None:
+    def read_days(self, name: str, days: DataFrame, before_batch: int | None = None) -> DataFrame | None:
+        """Rows of a day-partitioned table on the given days (a semi join on
+        the partition column, pruned at run time)."""
+        df = self.read(name, before_batch)
+        return None if df is None else df.join(days, "day", "left_semi")
+
+    def write_batch(self, name: str, df: DataFrame, batch_id: int, day_of: str | None = None) -> None:
+        """Write ``df`` as batch ``batch_id``; with ``day_of`` the table is also
+        partitioned by the UTC day of that timestamp column."""
+        parts = ["batch"]
+        if day_of is not None:
+            df = df.withColumn("day", F.to_date(F.col(day_of)))
+            parts = ["day", "batch"]
         (df.withColumn("batch", F.lit(batch_id).cast("long"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch").parquet(self.path(name)))
+         .partitionBy(*parts).parquet(self.path(name)))
 
     # ---- upsert tables -------------------------------------------------------------
     def _versions(self, name: str) -> list[int]:
@@ -84,20 +99,30 @@ class TableStore:
     def bucket_of(self, session_id) -> "F.Column":
         return F.pmod(F.xxhash64(session_id), F.lit(self.rollup_buckets)).cast("int")
 
-    def read_rollups(self, buckets: DataFrame | None = None) -> DataFrame | None:
-        df = self._read(self.path("session_rollups"))
+    def read_bucketed(self, name: str, buckets: DataFrame | None = None) -> DataFrame | None:
+        df = self._read(self.path(name))
         if df is not None and buckets is not None:
             df = df.join(buckets, "bucket", "left_semi")  # runtime partition pruning
         return df
 
-    def write_rollups(self, df: DataFrame, scratch: str | None = None) -> None:
-        """Replace the buckets present in ``df``. The frame is checkpointed
-        to ``spark.checkpoint.dir`` first, so the overwrite never depends on
-        files it replaces and a lost executor recomputes from the checkpoint."""
+    def freeze(self, df: DataFrame, scratch: str | None = None) -> DataFrame:
+        """Cut lineage: checkpoint into ``spark.checkpoint.dir`` (shared storage)."""
         checkpoint_dir(self.spark, scratch)
-        frozen = df.withColumn("bucket", self.bucket_of(F.col("session_id"))).checkpoint(eager=True)
+        return df.checkpoint(eager=True)
+
+    def write_bucketed(self, name: str, df: DataFrame, scratch: str | None = None) -> None:
+        """Replace the session buckets present in ``df``. The frame is
+        checkpointed first, so the overwrite never depends on files it
+        replaces and a lost executor recomputes from the checkpoint."""
+        frozen = self.freeze(df.withColumn("bucket", self.bucket_of(F.col("session_id"))), scratch)
         (frozen.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("bucket").parquet(self.path("session_rollups")))
+         .partitionBy("bucket").parquet(self.path(name)))
+
+    def read_rollups(self, buckets: DataFrame | None = None) -> DataFrame | None:
+        return self.read_bucketed("session_rollups", buckets)
+
+    def write_rollups(self, df: DataFrame, scratch: str | None = None) -> None:
+        self.write_bucketed("session_rollups", df, scratch)
 
 
 def local_scratch(root: str) -> str:
