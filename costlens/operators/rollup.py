@@ -152,6 +152,11 @@ def _combine(*parts: DataFrame) -> DataFrame:
         F.sum("active_us").alias("active_us"), F.max("a_issue").alias("a_issue"), F.max("a_dev").alias("a_dev"),
         F.sum("n_active").alias("n_active"),
     )
+    return _finish(agg)
+
+
+def _finish(agg: DataFrame) -> DataFrame:
+    """Final projection: COALESCE(wait, active, 'UNATTRIBUTED') keys, exact seconds."""
     return agg.select(
         "session_id",
         F.coalesce(F.when(F.col("n_wait") > 0, F.col("w_issue")), "a_issue", F.lit(UNATTRIBUTED)).alias("issue_key"),
@@ -165,17 +170,30 @@ def _combine(*parts: DataFrame) -> DataFrame:
 
 
 def rollups_from_slices(slices: DataFrame, ceiling_seconds: int = 900) -> DataFrame:
-    """Reduce stored slice summaries to one row per session (the C2 output)."""
-    has_wait = F.col("wait_us").isNotNull()
-    has_cost = F.col("cost").isNotNull()
-    sides = _part(
-        slices.filter(has_wait | has_cost),
-        wait_us=F.col("wait_us"), w_issue=F.col("w_issue"), w_dev=F.col("w_dev"), w_start=F.col("w_start"),
-        w_end=F.col("w_end"), n_wait=has_wait.cast("bigint"), cost=F.col("cost"), n_cost=has_cost.cast("bigint"),
-    )
-    active = _active_per_session(slices.filter(F.col("first_ts").isNotNull()), ceiling_seconds)
-    return _combine(sides, _part(active, active_us=F.col("active_us"), a_issue=F.col("a_issue"),
-                                 a_dev=F.col("a_dev"), n_active=F.lit(1)))
+    """Reduce stored slice summaries to one row per session (the C2 output).
+
+    One pass: a window over each session's slices carries the last turn
+    event of the previous turn slice (a running ``last`` that skips slices
+    without turns), and the per-session aggregate runs on the same
+    partitioning. A session has at most one slice per minute of activity."""
+    w = Window.partitionBy("session_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    turn_end = F.when(F.col("first_ts").isNotNull(),
+                      F.struct(F.col("last_ts").alias("ts"), F.col("last_event").alias("event")))
+    linked = slices.withColumn("prev", F.last(turn_end, ignorenulls=True).over(w))
+    cross = (F.col("first_event") == PROMPT) & (F.col("prev.event") == STOP) & (F.col("first_ts") > F.col("prev.ts"))
+    cross_us = F.when(cross, C.clamp_gap(C.duration_micros(F.col("prev.ts"), F.col("first_ts")),
+                                         ceiling_seconds * C.MICROS))
+    active_n = F.count("inner_us") + F.count(cross_us)
+    g = linked.groupBy("session_id").agg(
+        F.sum("wait_us").alias("wait_us"), F.max("w_issue").alias("w_issue"), F.max("w_dev").alias("w_dev"),
+        F.min("w_start").alias("session_start"), F.max("w_end").alias("session_end"),
+        F.count("wait_us").alias("n_wait"), F.sum("cost").alias("cost"), F.count("cost").alias("n_cost"),
+        (F.coalesce(F.sum("inner_us"), F.lit(0)) + F.coalesce(F.sum(cross_us), F.lit(0))).alias("active_us"),
+        F.greatest(F.max("inner_issue"), F.max(F.when(cross, F.col("first_issue")))).alias("a_issue"),
+        F.greatest(F.max("inner_dev"), F.max(F.when(cross, F.col("first_dev")))).alias("a_dev"),
+        active_n.alias("n_active"),
+    ).filter((F.col("n_wait") > 0) | (F.col("n_cost") > 0) | (F.col("n_active") > 0))
+    return _finish(g)
 
 
 def session_rollups(spans: DataFrame, events: DataFrame, ceiling_seconds: int = 900,

@@ -297,6 +297,7 @@ group by 1, 2"""),
         "c2_session_rollups": (["session_rollups"], f"select {ROLLUP_COLS} from session_rollups"),
         "c3_ticket_rollup": (["ticket_rollup"], f"select {TICKET_COLS} from ticket_rollup"),
         "c4_refresh_rollups": (["session_rollups"], f"select {ROLLUP_COLS} from session_rollups"),
+        "c4_refresh_textbook": (["session_rollups"], f"select {ROLLUP_COLS} from session_rollups"),
         "u1_touched_sessions": (["spans", "raw_events"], f"""select distinct session_id from (
   select session_id from spans where start_ts >= timestamp {q(EVENTS_SPLIT)}
   union all select session_id from raw_events where ts >= timestamp {q(EVENTS_SPLIT)}) s where session_id is not null"""),

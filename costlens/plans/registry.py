@@ -22,7 +22,7 @@ from costlens.config import UNATTRIBUTED, EngineConfig, configure_session
 from costlens.functions import columns as C
 from costlens.operators import context, economics, hygiene, merge, privacy, rollup, signals
 from costlens.plans import oracle, panels
-from costlens.plans.refresh import refresh_rollups
+from costlens.plans.refresh import refresh_incremental, refresh_rollups
 from costlens.sources import fixtures as fx
 from costlens.sources import otlp, records
 
@@ -154,12 +154,23 @@ def c3_ticket_rollup(spark, sf):
 
 
 def c4_refresh_rollups(spark, sf):
-    """Load 1 (first half of the month) then an incremental load 2: equals the full run."""
+    """Load 1 (first half of the month) then an incremental load 2 through the
+    slice state: equals the full run."""
     sp, ev = fx.spans(spark, sf), fx.raw_events(spark, sf)
     sp1, ev1 = _early(sp, "start_ts", EVENTS_SPLIT), _early(ev, "ts", EVENTS_SPLIT)
     sp2, ev2 = _late(sp, "start_ts", EVENTS_SPLIT), _late(ev, "ts", EVENTS_SPLIT)
+    rollups1, slices1 = refresh_incremental(None, None, sp1, ev1, sp1, ev1, CFG)
+    rollups2, _ = refresh_incremental(rollups1, slices1, sp, ev, sp2, ev2, CFG)
+    return rollups2.drop("attribution_source")
+
+
+def c4_refresh_textbook(spark, sf):
+    """The same two loads with whole-history recompute of touched sessions."""
+    sp, ev = fx.spans(spark, sf), fx.raw_events(spark, sf)
+    sp1, ev1 = _early(sp, "start_ts", EVENTS_SPLIT), _early(ev, "ts", EVENTS_SPLIT)
     first = refresh_rollups(None, sp1, ev1, sp1, ev1, CFG)
-    return refresh_rollups(first, sp, ev, sp2, ev2, CFG).drop("attribution_source")
+    return refresh_rollups(first, sp, ev, _late(sp, "start_ts", EVENTS_SPLIT), _late(ev, "ts", EVENTS_SPLIT),
+                           CFG).drop("attribution_source")
 
 
 def u1_touched_sessions(spark, sf):
@@ -362,10 +373,12 @@ def k9_pinned_upsert(spark, sf):
     """Load 1 → reviews pin some sessions → incremental load 2 keeps the pins."""
     sp, ev = fx.spans(spark, sf), fx.raw_events(spark, sf)
     sp1, ev1 = _early(sp, "start_ts", EVENTS_SPLIT), _early(ev, "ts", EVENTS_SPLIT)
-    first = refresh_rollups(None, sp1, ev1, sp1, ev1, CFG)
+    first, slices = refresh_incremental(None, None, sp1, ev1, sp1, ev1, CFG)
     sugg, dec = _suggestions(first)
     pinned, _ = merge.apply_reviews(first, sugg, dec)
-    return refresh_rollups(pinned, sp, ev, _late(sp, "start_ts", EVENTS_SPLIT), _late(ev, "ts", EVENTS_SPLIT), CFG)
+    out, _ = refresh_incremental(pinned, slices, sp, ev, _late(sp, "start_ts", EVENTS_SPLIT),
+                                 _late(ev, "ts", EVENTS_SPLIT), CFG)
+    return out
 
 
 # ---- context joins -----------------------------------------------------------------------------
@@ -411,7 +424,7 @@ _QUERIES: dict[str, Query] = {
     for f in [
         s1_parse_spans, s2_parse_events, s3_commit_records, s4_prompt_signals, s5_tool_signals, s6_issue_payloads,
         s7_ci_accepted, s7_ci_rejected, s10_quarantine,
-        c2_session_rollups, c3_ticket_rollup, c4_refresh_rollups, u1_touched_sessions, c8_missing_issue_keys,
+        c2_session_rollups, c3_ticket_rollup, c4_refresh_rollups, c4_refresh_textbook, u1_touched_sessions, c8_missing_issue_keys,
         f8_unattributed_sessions, f10_missing_since,
         a5_testing_discipline, a6_prompt_thrash, a7_subagent_fanout, a8_guardrail_blocks_daily,
         a9_prompt_intent_daily, a10_tool_category_daily,

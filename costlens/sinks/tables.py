@@ -13,7 +13,12 @@ semantics, each safe to replay for the same batch id:
 * ``session_rollups`` and the slice state ``session_slices`` are
   partitioned by ``bucket = pmod(xxhash64(session_id), n)``; a refresh
   rewrites only the buckets holding touched sessions (dynamic partition
-  overwrite of a frame cut from its lineage first).
+  overwrite, staged and swapped at job commit) and continues from the
+  re-read table, which cuts the lineage.
+
+Dynamic overwrite is not atomic across buckets: if the driver dies while
+committing, ``streaming.ingest.rebuild_state`` recomputes slice state and
+rollups from the raw tables.
 """
 
 from __future__ import annotations
@@ -110,19 +115,23 @@ class TableStore:
         checkpoint_dir(self.spark, scratch)
         return df.checkpoint(eager=True)
 
-    def write_bucketed(self, name: str, df: DataFrame, scratch: str | None = None) -> None:
-        """Replace the session buckets present in ``df``. The frame is
-        checkpointed first, so the overwrite never depends on files it
-        replaces and a lost executor recomputes from the checkpoint."""
-        frozen = self.freeze(df.withColumn("bucket", self.bucket_of(F.col("session_id"))), scratch)
-        (frozen.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    def write_bucketed(self, name: str, df: DataFrame, buckets: DataFrame | None = None) -> DataFrame:
+        """Replace the session buckets present in ``df`` and return the table
+        re-read from storage (the written table is the lineage cut).
+
+        Dynamic partition overwrite stages the new files and swaps the
+        buckets at job commit, so tasks (and retries after a lost executor)
+        still read the old files while the job runs."""
+        (df.withColumn("bucket", self.bucket_of(F.col("session_id")))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("bucket").parquet(self.path(name)))
+        return self.read_bucketed(name, buckets)
 
     def read_rollups(self, buckets: DataFrame | None = None) -> DataFrame | None:
         return self.read_bucketed("session_rollups", buckets)
 
-    def write_rollups(self, df: DataFrame, scratch: str | None = None) -> None:
-        self.write_bucketed("session_rollups", df, scratch)
+    def write_rollups(self, df: DataFrame, buckets: DataFrame | None = None) -> DataFrame:
+        return self.write_bucketed("session_rollups", df, buckets)
 
 
 def local_scratch(root: str) -> str:

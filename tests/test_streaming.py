@@ -110,3 +110,14 @@ def test_late_rows_inside_history_equal_full(spark, cfg, tmp_path):
     got = sorted(tuple(r) for r in store.read_rollups().select(*COLS).collect())
     full = rollup.session_rollups(otlp.parse_traces(traces, cfg).good, otlp.parse_logs(logs, cfg).good)
     assert got == sorted(tuple(r) for r in full.select(*COLS).collect())
+
+
+def test_rebuild_state_equals_incremental(spark, cfg, tmp_path):
+    root = str(tmp_path)
+    landing, scratch = f"{root}/landing", local_scratch(root)
+    land(fx.events_as_log_lines(spark, SF_SMALL, cfg), f"{landing}/logs", "a")
+    store = TableStore(spark, f"{root}/tables", rollup_buckets=4)
+    ingest.run_full(spark, landing, store, cfg, scratch)
+    before = sorted(tuple(r) for r in store.read_rollups().select(*COLS).collect())
+    ingest.rebuild_state(store, cfg, scratch)
+    assert sorted(tuple(r) for r in store.read_rollups().select(*COLS).collect()) == before
