@@ -105,7 +105,7 @@ def main() -> None:
             fx.issue_rows(spark, sf), fx.rate_config(spark)),
         "testing_discipline": lambda: hygiene.testing_discipline_daily(fx.raw_events(spark, sf)),
         "refresh_1pct": lambda: _Action(lambda: ingest.refresh_touched(store, 1, CFG, ckpt)),
-        "big_span_rollups": lambda: rollup.session_rollups(fx.spans_big(spark, sf), fx.raw_events(spark, sf).limit(0)),
+        "big_span_rollups": lambda: rollup.session_rollups(fx.spans_big(spark, sf), None),
         "big_span_dedup": lambda: merge.spans_to_append(
             None, fx.spans_big(spark, sf).withColumn("_seq", F.struct("session_id", "trace_id", "start_ts"))),
         "big_fanout": lambda: hygiene.subagent_fanout_by_session(fx.spans_big(spark, sf)),

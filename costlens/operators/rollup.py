@@ -196,7 +196,7 @@ def rollups_from_slices(slices: DataFrame, ceiling_seconds: int = 900) -> DataFr
     return _finish(g)
 
 
-def session_rollups(spans: DataFrame, events: DataFrame, ceiling_seconds: int = 900,
+def session_rollups(spans: DataFrame, events: DataFrame | None, ceiling_seconds: int = 900,
                     bucket_seconds: int = 60) -> DataFrame:
     """One row per session with any wait, active or cost input.
 
@@ -209,6 +209,8 @@ def session_rollups(spans: DataFrame, events: DataFrame, ceiling_seconds: int =
     wait_part = _part(wait, wait_us=C.duration_micros(F.col("start_ts"), F.col("end_ts")),
                       w_issue=F.col("issue_key"), w_dev=F.col("developer_id"), w_start=F.col("start_ts"),
                       w_end=F.col("end_ts"), n_wait=F.lit(1))
+    if events is None:  # spans only (e.g. trace-only telemetry)
+        return _combine(wait_part)
     cost = events.filter((F.col("event_name") == API_REQUEST) & F.col("session_id").isNotNull())
     cost_part = _part(cost, cost=F.col("cost_usd"), n_cost=F.lit(1))
     active = _active_per_session(_turn_slices(events, ceiling_seconds, bucket_seconds), ceiling_seconds)

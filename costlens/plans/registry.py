@@ -259,8 +259,7 @@ def p08_prompt_thrash(spark, sf):
 
 def p10_subagent_fanout(spark, sf):
     big = fx.spans_big(spark, sf)
-    empty = fx.raw_events(spark, sf).limit(0)
-    roll = rollup.session_rollups(big, empty, CFG.ceiling_seconds, CFG.gap_bucket_seconds)
+    roll = rollup.session_rollups(big, None, CFG.ceiling_seconds, CFG.gap_bucket_seconds)
     return panels.fanout_by_day(hygiene.subagent_fanout_by_session(big), roll, oracle.BIG_RANGE_FROM, oracle.BIG_RANGE_TO)
 
 

@@ -119,3 +119,18 @@ def test_fixture_rollup_sessions(spark):
     out = rollup.session_rollups(fx.spans(spark, SF_SMALL), fx.raw_events(spark, SF_SMALL))
     assert out.count() > 0
     assert out.filter(F.col("active_time_sec") < 0).count() == 0
+
+
+def test_hot_session_is_split_by_slices(spark):
+    """One session holding most rows: the event-level window is partitioned by
+    (session, slice); only slice summaries are windowed per session."""
+    hot = [ev("hot", "stop" if i % 2 == 0 else "user_prompt", i * 7) for i in range(3000)]
+    cold = [ev(f"c{i}", "stop", 0) for i in range(50)] + [ev(f"c{i}", "user_prompt", 30) for i in range(50)]
+    e = spark.createDataFrame(hot + cold, EV_SCHEMA)
+    s = spark.createDataFrame([], SP_SCHEMA)
+    out = rollup.session_rollups(s, e)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert any("slice" in w.split("windowspecdefinition(")[1].split(",")[1] for w in windows if "lag(" in w)
+    r = {x["session_id"]: x for x in out.collect()}
+    assert float(r["hot"]["active_time_sec"]) == 1500 * 7.0 and float(r["c3"]["active_time_sec"]) == 30.0
