@@ -27,6 +27,7 @@ class Parsed(NamedTuple):
     good: DataFrame
     quarantine: DataFrame
     identities: DataFrame  # (raw_developer_id, developer_email) seen on resources
+    base: DataFrame | None = None  # the parsed-lines frame all three derive from (worth persisting)
 
 
 def read_lines(spark, path: str) -> DataFrame:
@@ -66,7 +67,7 @@ def _split_lines(lines: DataFrame, schema: T.StructType, source: str, exploded:
         F.lit(source).alias("source"), F.lit("malformed_line").alias("reason"), F.col("value").alias("raw")
     )
     good = parsed if exploded else parsed.filter(F.col(f"doc.{CORRUPT}").isNull() & ~blank)
-    return good, bad
+    return good, bad, parsed
 
 
 def _quarantine(df: DataFrame, source: str, checks: list[tuple[str, Column]], raw: str) -> DataFrame:
@@ -130,7 +131,7 @@ def _split_rows(rows: DataFrame, source: str, malformed: DataFrame) -> tuple[Dat
 def parse_traces(lines: DataFrame, cfg: EngineConfig) -> Parsed:
     """Trace lines → ``raw_spans`` rows (+ ``_seq`` order key)."""
     a = cfg.attributes
-    docs, malformed = _split_lines(lines, schemas.TRACE_LINE, "traces", exploded=True)
+    docs, malformed, base = _split_lines(lines, schemas.TRACE_LINE, "traces", exploded=True)
     spans, identities = _items(docs, "resourceSpans", "scopeSpans", "spans", cfg)
     sp = lambda f: F.col(f"item.{f}")
     cost, tin, tout = (F.col("attrs")[k] for k in (a.cost_usd, a.input_tokens, a.output_tokens))
@@ -164,13 +165,13 @@ def parse_traces(lines: DataFrame, cfg: EngineConfig) -> Parsed:
         _reason(checks).alias("_reason"),
     )
     good, bad = _split_rows(rows, "traces", malformed)
-    return Parsed(good, bad, identities)
+    return Parsed(good, bad, identities, base)
 
 
 def parse_logs(lines: DataFrame, cfg: EngineConfig) -> Parsed:
     """Log lines → ``raw_events`` rows (+ ``_seq`` order key)."""
     a = cfg.attributes
-    docs, malformed = _split_lines(lines, schemas.LOG_LINE, "logs", exploded=True)
+    docs, malformed, base = _split_lines(lines, schemas.LOG_LINE, "logs", exploded=True)
     recs, identities = _items(docs, "resourceLogs", "scopeLogs", "logRecords", cfg)
     cost, tin, tout = (F.col("attrs")[k] for k in (a.cost_usd, a.input_tokens, a.output_tokens))
     ts = C.nanos_to_timestamp(F.col("item.timeUnixNano"))
@@ -198,4 +199,4 @@ def parse_logs(lines: DataFrame, cfg: EngineConfig) -> Parsed:
         _reason(checks).alias("_reason"),
     )
     good, bad = _split_rows(rows, "logs", malformed)
-    return Parsed(good, bad, identities)
+    return Parsed(good, bad, identities, base)

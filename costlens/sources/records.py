@@ -40,7 +40,7 @@ def _bad_ts(raw: Column) -> Column:
 
 
 def parse_commit_records(lines: DataFrame, cfg: EngineConfig) -> Parsed:
-    docs, malformed = _split_lines(lines, schemas.COMMIT_RECORD, "git_commits")
+    docs, malformed, base = _split_lines(lines, schemas.COMMIT_RECORD, "git_commits")
     d = lambda f: F.col(f"doc.{f}")
     rows = docs.select(
         C.blank_to_null(d("commit_sha")).alias("commit_sha"),
@@ -65,7 +65,7 @@ def parse_commit_records(lines: DataFrame, cfg: EngineConfig) -> Parsed:
     ]
     good, bad = _split_good(rows, "git_commits", checks, malformed, ["_bad_num", "_bad_ts"])
     ids = good.select(F.col("_seq").alias("seq"), F.lit(0).alias("ri"), "raw_developer_id", "developer_email")
-    return Parsed(good.drop("raw_developer_id", "developer_email"), bad, ids)
+    return Parsed(good.drop("raw_developer_id", "developer_email"), bad, ids, base)
 
 
 def _signal_common(d, cfg: EngineConfig) -> list[Column]:
@@ -77,7 +77,7 @@ def _signal_common(d, cfg: EngineConfig) -> list[Column]:
 
 
 def parse_prompt_signals(lines: DataFrame, cfg: EngineConfig) -> Parsed:
-    docs, malformed = _split_lines(lines, schemas.PROMPT_SIGNAL_RECORD, "prompt_signals")
+    docs, malformed, base = _split_lines(lines, schemas.PROMPT_SIGNAL_RECORD, "prompt_signals")
     d = lambda f: F.col(f"doc.{f}")
     rows = docs.select(
         *_signal_common(d, cfg),
@@ -95,11 +95,11 @@ def parse_prompt_signals(lines: DataFrame, cfg: EngineConfig) -> Parsed:
     checks = [("bad_number", F.col("_bad_num")), ("bad_time", F.col("_bad_ts")), ("missing_time", F.col("ts").isNull())]
     good, bad = _split_good(rows, "prompt_signals", checks, malformed, ["_bad_num", "_bad_ts"])
     ids = good.select(F.col("_seq").alias("seq"), F.lit(0).alias("ri"), "raw_developer_id", "developer_email")
-    return Parsed(good.drop("raw_developer_id", "developer_email"), bad, ids)
+    return Parsed(good.drop("raw_developer_id", "developer_email"), bad, ids, base)
 
 
 def parse_tool_signals(lines: DataFrame, cfg: EngineConfig) -> Parsed:
-    docs, malformed = _split_lines(lines, schemas.TOOL_SIGNAL_RECORD, "tool_signals")
+    docs, malformed, base = _split_lines(lines, schemas.TOOL_SIGNAL_RECORD, "tool_signals")
     d = lambda f: F.col(f"doc.{f}")
     rows = docs.select(
         *_signal_common(d, cfg),
@@ -114,12 +114,12 @@ def parse_tool_signals(lines: DataFrame, cfg: EngineConfig) -> Parsed:
     checks = [("bad_time", F.col("_bad_ts")), ("missing_time", F.col("ts").isNull())]
     good, bad = _split_good(rows, "tool_signals", checks, malformed, ["_bad_ts"])
     ids = good.select(F.col("_seq").alias("seq"), F.lit(0).alias("ri"), "raw_developer_id", "developer_email")
-    return Parsed(good.drop("raw_developer_id", "developer_email"), bad, ids)
+    return Parsed(good.drop("raw_developer_id", "developer_email"), bad, ids, base)
 
 
 def parse_ci_payloads(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """CI completion payloads → (ci rows, rejects with reason)."""
-    docs, malformed = _split_lines(lines, schemas.CI_PAYLOAD, "ci_runs")
+    docs, malformed, base = _split_lines(lines, schemas.CI_PAYLOAD, "ci_runs")
     d = lambda f: F.col(f"doc.{f}")
     return validate_ci(docs.select(
         "seq", F.col("value").alias("_raw"),
