@@ -343,7 +343,8 @@ from ticket_rollup order by hours_milli desc, issue_key limit 25"""),
   {rr_frac('100 * commits_with_prior_passing_test', 'commit_count', 1)} as testing_discipline_pct
 from testing_discipline_daily where {between('day')}"""),
         "p08_prompt_thrash": (["prompt_thrash", "session_rollups"], f"""select {day('sr.session_start')} as time,
-  (cast(sum({rr_frac('pt.prompt_count', 'greatest(pt.mutation_count, 1)', 2)} * 100) as double) / cast(100 as double))
+  (cast(sum(cast(round({rr_frac('pt.prompt_count', 'greatest(pt.mutation_count, 1)', 2)} * 100) as hugeint)) as double)
+    / cast(100 as double))
     / cast(count(*) as double) as avg_thrash_ratio
 from prompt_thrash pt join session_rollups sr on sr.session_id = pt.session_id
 where {between('sr.session_start')} group by 1"""),
