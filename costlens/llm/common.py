@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +60,32 @@ def words_of(text: Column) -> Column:
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this subpackage to the executors once per application, as
+    ``--py-files`` would, so that tasks can import it where it is not
+    installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="costlens-py-")) / "costlens_llm.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        archive.writestr("costlens/__init__.py", "")
+        for source in sorted(here.glob("*.py")):
+            archive.write(source, f"costlens/llm/{source.name}")
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Arrow batches of few rows for tasks that hold whole texts; a smaller
+    setting of the session stays. Also ships the code of those tasks."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

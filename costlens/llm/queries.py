@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costlens.llm import quality
+from costlens.llm import jaccard, quality
 from costlens.llm.common import read_table
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components_of(read_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op8_quality_rules": op8_quality_rules,
 }
 
