@@ -89,3 +89,10 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+
+
+def default_tokenizer() -> str:
+    """Path of the vocabulary that the queries use; operators take a path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")

@@ -4,20 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costlens.llm import jaccard, quality
-from costlens.llm.common import read_table
+from costlens.llm import decontaminate, jaccard, packing, quality
+from costlens.llm.common import default_tokenizer, read_table
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), default_tokenizer())
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components_of(read_table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op8_quality_rules": op8_quality_rules,
 }
 
