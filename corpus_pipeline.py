@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costlens.llm import decontaminate, jaccard, packing, quality
+from costlens.llm import decontaminate, jaccard, packing, personal, quality
 from costlens.llm.common import default_tokenizer, materialise, read_table
 
 
@@ -29,6 +29,11 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return decontaminate.filter_documents(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+def contextual_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to the name of its kind."""
+    return personal.redact(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All that is left is packed into sequences."""
     return packing.pack(docs, default_tokenizer())
@@ -38,6 +43,7 @@ STAGES = [
     ("quality_rules", quality_rules),
     ("ngram_jaccard_join", ngram_jaccard_join),
     ("benchmark_decontamination", benchmark_decontamination),
+    ("contextual_pii", contextual_pii),
     ("best_fit_packing", best_fit_packing),
 ]
 

@@ -217,7 +217,10 @@ def filter_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents kept, whole rows. The verdict is computed in the row
     again from the fitted model, so repeated doc_ids need no join."""
     model = fit(docs.select(features(text_or_empty()).alias("f")).select(votes(F.col("f")).alias("votes")))
-    feature = "__quality_features"
-    f = F.col(feature)
-    kept = _kept(base_columns(f)["base_failed"], model.posterior(votes(f)), threshold)
-    return docs.withColumn(feature, features(text_or_empty())).filter(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # One lambda variable, not a column: a filter on a column would be pushed
+    # below it with a copy of the features for every use.
+    kept = let(
+        features(text_or_empty()),
+        lambda f: _kept(base_columns(f)["base_failed"], model.posterior(votes(f)), threshold),
+    )
+    return docs.filter(kept)
