@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costlens.llm import chat, decontaminate, hilbert, htmltext, jaccard, packing, personal, quality
+from costlens.llm import chat, decontaminate, hilbert, htmltext, jaccard, licences, packing, personal, quality, sentences
 from costlens.llm.common import default_tokenizer, read_table
 
 
@@ -17,6 +17,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(read_table(spark, sf_dir, "pages"))
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components_of(read_table(spark, sf_dir, "documents"), words=3, percent=90)
 
@@ -51,15 +55,21 @@ def op9_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.find(read_table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_html_extraction": op2_html_extraction,
+    "op3_licence_scan": op3_licence_scan,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_hilbert_sharding": op6_hilbert_sharding,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_quality_rules": op8_quality_rules,
     "op9_contextual_pii": op9_contextual_pii,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
