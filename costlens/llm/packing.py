@@ -41,8 +41,8 @@ from costlens.llm.common import materialise, small_batches
 CAPACITY = 2048
 #: Rows of one (length, salt) group, about.
 GROUP_ROWS = 200_000
-#: Distinct words one task remembers the ids of.
-REMEMBERED_WORDS = 400_000
+#: Distinct words a Python worker remembers the ids of, from task to task.
+REMEMBERED_WORDS = 1_000_000
 
 PLACE = "length long, rank_from long, rank_to long, sequence_from long, per_sequence long, offset long"
 
@@ -61,16 +61,32 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {"": b""}
+        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, dtype="<u4").tobytes() for m in ",."}
 
     def learn(self, parts: set[str]) -> None:
         new = [p for p in parts if p not in self.known]
-        if len(self.known) + len(new) > REMEMBERED_WORDS:
+        if len(self.known) + 2 * len(new) > REMEMBERED_WORDS:
             self.known = {"": b""}
             new = list(parts)
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+        plain = {p: self._plain(p) for p in new}
+        some = list({c for c, _ in plain.values()} - self.known.keys())
+        for at in range(0, len(some), 20_000):
+            batch = some[at : at + 20_000]
+            for part, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
                 self.known[part] = np.array(e.ids, dtype="<u4").tobytes()
+        for part, (core, mark) in plain.items():
+            self.known[part] = self.known[core] + mark
+
+    def _plain(self, part: str) -> tuple[str, bytes]:
+        """A part that stands for ``part``, and the ids that follow: texts are
+        lower-cased, and a full stop or comma after a letter is a token of its
+        own."""
+        mark = b""
+        if len(part) > 1 and part[-1] in self.marks and part[-2].isalpha():
+            part, mark = part[:-1], self.marks[part[-1]]
+        if "A" <= part[0] <= "Z":
+            part = part[0].lower() + part[1:]
+        return part, mark
 
     def encode(self, text: str) -> bytes:
         parts = text.replace("\n", " ").split(" ")
@@ -87,9 +103,18 @@ class WordEncoder:
             return b"".join([self.known[p] for p in parts])
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_for(path: str) -> WordEncoder:
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def _tokenise(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = encoder_for(path)
         end = np.zeros(1, dtype="<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
