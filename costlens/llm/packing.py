@@ -91,16 +91,16 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         parts = text.replace("\n", " ").split(" ")
         if len(parts) <= REMEMBERED_WORDS // 2:
-            return self._ids(parts)
+            return self.ids(parts)
         step = REMEMBERED_WORDS // 2
-        return b"".join(self._ids(parts[i : i + step]) for i in range(0, len(parts), step))
+        return b"".join(self.ids(parts[i : i + step]) for i in range(0, len(parts), step))
 
-    def _ids(self, parts: list[str]) -> bytes:
+    def ids(self, parts: list[str]) -> bytes:
         try:
-            return b"".join([self.known[p] for p in parts])
+            return b"".join(map(self.known.__getitem__, parts))
         except KeyError:
             self.learn(set(parts))
-            return b"".join([self.known[p] for p in parts])
+            return b"".join(map(self.known.__getitem__, parts))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -119,15 +119,14 @@ def _tokenise(path: str, capacity: int, with_ids: bool):
         step = 4 * capacity
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            some: set[str] = set()
-            for text in texts:  # learn the batch's new words together
-                if text and len(text) < 100_000:
-                    some.update(p for p in text.replace("\n", " ").split(" ") if p not in encoder.known)
+            # Learn the batch's new words together, long texts on their own.
+            split = [t.replace("\n", " ").split(" ") if t and len(t) < 100_000 else None for t in texts]
+            some = set().union(*[p for p in split if p]) - encoder.known.keys()
             if some and len(some) < REMEMBERED_WORDS // 2:
                 encoder.learn(some)
             owner, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(texts):
-                raw = encoder.encode(text or "") + end
+                raw = (encoder.ids(split[i]) if split[i] else encoder.encode(text or "")) + end
                 for k, at in enumerate(range(0, len(raw), step)):
                     cut = raw[at : at + step]
                     owner.append(i)
