@@ -14,9 +14,10 @@ occur once leave before that. Hashes have 128 bits. Texts are sent once, to
 the join with what is removed from them.
 
 Defined results: null texts stay null, with no sentences; empty texts stay;
-a text that is one long sentence has no run and stays; ties in doc_id (repeated
-rows) are ordered by row, the first row keeps its text; a null doc_id sorts
-last; an empty table gives an empty result; other columns are not read.
+a text that is one long sentence has no run and stays; rows that repeat doc_id
+and text are one document and get the same result each; other ties in doc_id
+are ordered by a hash of the text; a null doc_id sorts last; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -73,16 +74,14 @@ def runs_of(counts: list[int], sentences: int, words: int) -> set[tuple[int, int
 def _hash_runs(sentences: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, lists = [], []
+            lists = []
             for text in batch.column(1).to_pylist():
                 if not text:
-                    sizes.append(0)
                     lists.append([])
                     continue
                 bounds = sentences_of(text)
                 parts = [text[a:b].lower().split() for a, b in bounds]
                 joined = [" ".join(p).encode() for p in parts]
-                sizes.append(len(bounds))
                 rows = []
                 for first, after in runs_of([len(p) for p in parts], sentences, words):
                     d = xxhash.xxh3_128_digest(b"\n".join(joined[first:after]))
@@ -90,9 +89,7 @@ def _hash_runs(sentences: int, words: int):
                     rows.append({"h": high, "l": low, "first": first, "after": after})
                 lists.append(rows)
             kind = pa.list_(pa.struct([("h", pa.int64()), ("l", pa.int64()), ("first", pa.int32()), ("after", pa.int32())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(lists, kind)], ["row", "n_sentences", "runs"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, kind)], ["row", "runs"])
 
     return run
 
@@ -100,13 +97,14 @@ def _hash_runs(sentences: int, words: int):
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without their removed sentences, and how many characters went."""
     for batch in batches:
-        texts, spans = [], []
+        texts, sizes, spans = [], [], []
         for text, covered in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if not text or not covered:
+            bounds = sentences_of(text) if text else []
+            sizes.append(len(bounds))
+            if not covered:
                 texts.append(text)
                 spans.append([])
                 continue
-            bounds = sentences_of(text)
             gone = np.zeros(len(bounds) + 1, dtype=np.int64)
             for c in covered:
                 gone[c["first"]] += 1
@@ -115,7 +113,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append("".join(text[a:b] for (a, b), x in zip(bounds, out) if not x))
             spans.append([i for i, x in enumerate(out.tolist()) if x])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.int32()))], ["row", "text", "removed"]
+            [batch.column(0), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int32()))],
+            ["doc_id", "text", "n_sentences", "removed"],
         )
 
 
@@ -124,26 +123,20 @@ def remove_repeats(docs: DataFrame, sentences: int = 2, words: int = 16) -> Data
     n_removed and removed (the removed sentences' numbers)."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    numbered = materialise(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text"), "sentence-rows")
-    row = f"struct<uid:bigint,doc_id:{kind}>"
-    hashed = numbered.select(F.struct("uid", "doc_id").alias("row"), "text").mapInArrow(
-        _hash_runs(sentences, words), f"row {row}, n_sentences long, runs array<struct<h:long,l:long,first:int,after:int>>"
-    )
-    hashed = materialise(hashed, "sentence-runs")
-    runs = hashed.select("row.uid", F.col("row.doc_id").alias("doc_id"), F.explode("runs").alias("r")).select(
-        "uid", "doc_id", "r.h", "r.l", "r.first", "r.after"
-    )
+    # Rows are known by doc_id and a hash of their text, so texts need no copy.
+    named = docs.select(F.struct("doc_id", F.xxhash64("text").alias("key")).alias("row"), "text")
+    row = f"struct<doc_id:{kind},key:bigint>"
+    hashed = named.mapInArrow(_hash_runs(sentences, words), f"row {row}, runs array<struct<h:long,l:long,first:int,after:int>>")
+    hashed = materialise(hashed.filter(F.size("runs") > 0), "sentence-runs")
+    runs = hashed.select("row.doc_id", "row.key", F.explode("runs").alias("r")).select("doc_id", "key", "r.h", "r.l", "r.first", "r.after")
     # Smallest doc_id first, rows without one last.
-    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("uid"), F.col("first"))
-    firsts = runs.groupBy("h", "l").agg(F.min(place).alias("keep"), F.count("*").alias("c")).filter("c > 1").select("h", "l", "keep.uid", F.col("keep.first").alias("at"))
-    firsts = firsts.withColumnRenamed("uid", "keep_uid")
-    later = runs.join(firsts, ["h", "l"]).filter((F.col("uid") != F.col("keep_uid")) | (F.col("first") != F.col("at")))
-    covered = later.groupBy("uid").agg(F.collect_set(F.struct("first", "after")).alias("covered"))
-    sized = hashed.select("row.uid", "n_sentences")
-    joined = numbered.join(covered, "uid", "left").join(sized, "uid")
-    cut = joined.select(F.struct("uid", "doc_id", "n_sentences").alias("row"), "text", "covered").mapInArrow(
-        _cut, f"row struct<uid:bigint,doc_id:{kind},n_sentences:bigint>, text string, removed array<int>"
-    )
-    return cut.select(
-        "row.doc_id", "text", "row.n_sentences", F.size("removed").cast("long").alias("n_removed"), "removed"
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("key"), F.col("first"))
+    firsts = runs.groupBy("h", "l").agg(F.min(place).alias("keep"), F.count("*").alias("c")).filter("c > 1").select("h", "l", "keep")
+    later = runs.join(firsts, ["h", "l"]).filter(place != F.col("keep"))
+    covered = later.groupBy(F.col("doc_id").alias("covered_id"), F.col("key").alias("covered_key")).agg(
+        F.collect_set(F.struct("first", "after")).alias("covered")
     )
+    same = F.col("row.doc_id").eqNullSafe(F.col("covered_id")) & (F.col("row.key") == F.col("covered_key"))
+    joined = named.join(covered, same, "left").select("row.doc_id", "text", "covered")
+    cut = joined.mapInArrow(_cut, f"doc_id {kind}, text string, n_sentences long, removed array<int>")
+    return cut.select("doc_id", "text", "n_sentences", F.size("removed").cast("long").alias("n_removed"), "removed")
