@@ -90,22 +90,3 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         pass
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback.rstrip("/")
-
-
-def scale_settings(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
-    """Partition sizing for a job reading ``input_bytes``: enough shuffle
-    partitions that each holds about ``target_partition_bytes`` before AQE
-    coalesces small ones, and scan splits of the same size."""
-    partitions = max(8, min(200_000, input_bytes // target_partition_bytes))
-    return {
-        "spark.sql.shuffle.partitions": str(partitions),
-        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
-    }
-
-
-def apply_unset(spark: SparkSession, settings: dict[str, str]) -> None:
-    """Apply settings the cluster has not set explicitly."""
-    for key, value in settings.items():
-        if spark.conf.get(key, None) in (None, ""):
-            spark.conf.set(key, value)

@@ -111,13 +111,19 @@ def single_candidate_suggestions(rollups: DataFrame, identity_map: DataFrame, is
     """J12: for unattributed sessions, the developer's only open ticket.
 
     ``identity_map`` (developer_id, assignee_email) is an explicit mapping;
-    e-mail equality between systems is not assumed. Candidates are counted
-    per assignee first (one row per assignee), then joined to sessions."""
-    open_by_assignee = issues.filter(F.col("status").isin(*active_statuses) & F.col("assignee_email").isNotNull()) \
-        .groupBy("assignee_email").agg(F.count(F.lit(1)).alias("candidates"), F.min("issue_key").alias("only_key")) \
-        .filter(F.col("candidates") == 1)
-    dev = identity_map.select("developer_id", "assignee_email").dropDuplicates(["developer_id"])
+    e-mail equality between systems is not assumed. A developer may have
+    several addresses: tickets are counted over all of them, and a ticket
+    that several of them reach counts once. Counts are partial aggregates
+    (lowest and highest key), so a developer with many tickets costs one row
+    per map task."""
+    open_issues = issues.filter(F.col("status").isin(*active_statuses) & F.col("assignee_email").isNotNull())
+    one_open = (
+        identity_map.select("developer_id", "assignee_email").distinct()
+        .join(open_issues.select("assignee_email", "issue_key"), "assignee_email", "inner")
+        .groupBy("developer_id").agg(F.min("issue_key").alias("only_key"), F.max("issue_key").alias("last_key"))
+        .filter(F.col("only_key") == F.col("last_key"))
+    )
     s = rollups.filter(F.col("issue_key") == UNATTRIBUTED).select("session_id", "developer_id")
-    return s.join(dev, "developer_id", "inner").join(open_by_assignee, "assignee_email", "inner").select(
+    return s.join(one_open, "developer_id", "inner").select(
         "session_id", "developer_id", F.col("only_key").alias("suggested_issue_key")
     )

@@ -21,5 +21,8 @@ def pseudonymise(df: DataFrame, identity_col: str, salt: str, email_col: str | N
         C.pseudonym(raw, salt).alias("developer_id"),
         C.blank_to_null(email).alias("git_email"),
         F.when(C.blank_to_null(email).isNull(), raw).alias("display_name"),
-    ).filter(F.col("developer_id") != "UNATTRIBUTED").dropDuplicates(["developer_id"])
+    ).filter(F.col("developer_id") != "UNATTRIBUTED")
+    # One row per developer, the same one on every run: a known address first.
+    first = F.min(F.struct(F.col("git_email").isNull().alias("unknown"), "git_email", "display_name"))
+    ids = ids.groupBy("developer_id").agg(first.alias("i")).select("developer_id", "i.git_email", "i.display_name")
     return safe, ids

@@ -27,7 +27,6 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from costlens.config import checkpoint_dir
 
@@ -41,11 +40,39 @@ class TableStore:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def _names(self, path: str) -> list[str]:
+        """Visible entries of a folder; none where it does not exist."""
+        jvm = self.spark.sparkContext._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(path)
+        fs = hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(hpath):
+            return []
+        names = [st.getPath().getName() for st in fs.listStatus(hpath)]
+        return [n for n in names if not n.startswith(("_", "."))]
+
     def _read(self, path: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(path)
-        except AnalysisException:
-            return None  # a table that was never written reads as missing
+        """A table that was never written (or got no row yet) reads as
+        missing; one that cannot be read raises."""
+        return self.spark.read.parquet(path) if self._names(path) else None
+
+    def is_empty(self) -> bool:
+        return not self._names(self.root)
+
+    # ---- batch ledger ------------------------------------------------------------
+    def allot(self, stream: str, stream_batch: int) -> int:
+        """The store's batch id for a stream's batch: the same one on every
+        replay, a new one for every other stream (a checkpoint that was lost
+        and made anew is another stream, though it counts from 0 again)."""
+        ledger = self._read(self.path("batch_ledger"))
+        batch = 0
+        if ledger is not None:
+            known = ledger.filter((F.col("stream") == stream) & (F.col("stream_batch") == stream_batch)).first()
+            if known is not None:
+                return known["batch"]
+            batch = ledger.agg(F.max("batch")).first()[0] + 1
+        row = self.spark.createDataFrame([(stream, stream_batch, batch)], "stream string, stream_batch long, batch long")
+        row.coalesce(1).write.mode("append").parquet(self.path("batch_ledger"))
+        return batch
 
     # ---- append tables ---------------------------------------------------------
     def read(self, name: str, before_batch: int | None = None) -> DataFrame | None:
@@ -95,7 +122,8 @@ class TableStore:
 
     def read_version(self, name: str, before_batch: int | None = None) -> DataFrame | None:
         vs = [v for v in self._versions(name) if before_batch is None or v < before_batch]
-        return self._read(f"{self.path(name)}/version={vs[-1]}") if vs else None
+        # A version marked complete has part files; if not, reading it raises.
+        return self.spark.read.parquet(f"{self.path(name)}/version={vs[-1]}") if vs else None
 
     def write_version(self, name: str, df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path(name)}/version={batch_id}")

@@ -30,20 +30,6 @@ class Parsed(NamedTuple):
     base: DataFrame | None = None  # the parsed-lines frame all three derive from (worth persisting)
 
 
-def read_lines(spark, path: str) -> DataFrame:
-    """Landed JSONL files as (value, seq). ``seq`` orders lines by file and
-    position; it is deterministic for a given set of files."""
-    df = spark.read.text(path)
-    return df.select(
-        "value",
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-        ).alias("seq"),
-    )
-
-
 def _with_seq(lines: DataFrame) -> DataFrame:
     if "seq" in lines.columns:
         return lines
@@ -66,7 +52,12 @@ def _split_lines(lines: DataFrame, schema: T.StructType, source: str, exploded:
     bad = parsed.filter(F.col(f"doc.{CORRUPT}").isNotNull() & ~blank).select(
         F.lit(source).alias("source"), F.lit("malformed_line").alias("reason"), F.col("value").alias("raw")
     )
-    good = parsed if exploded else parsed.filter(F.col(f"doc.{CORRUPT}").isNull() & ~blank)
+    if exploded:
+        # Line-level rule: a line with a broken part yields nothing but its
+        # quarantine row, so a partly parsed document is blanked.
+        whole = F.when(F.col(f"doc.{CORRUPT}").isNull(), F.col("doc"))
+        return parsed.withColumn("doc", whole), bad, parsed
+    good = parsed.filter(F.col(f"doc.{CORRUPT}").isNull() & ~blank)
     return good, bad, parsed
 
 
@@ -84,7 +75,11 @@ def _items(docs: DataFrame, resources: str, scopes: str, items: str, cfg: Engine
     """resource → scope → item explosion; attribute maps are built once per
     resource and once per item. Returns (items, identities)."""
     a = cfg.attributes
-    res = docs.select("seq", F.posexplode(F.col(f"doc.{resources}")).alias("ri", "res")).select(
+    # An outer explode and a filter on what it made: an inner one would have the
+    # optimizer test the array's size, with its own parse, below the lines' source.
+    res = docs.select("seq", F.posexplode_outer(F.col(f"doc.{resources}")).alias("ri", "res")).filter(
+        F.col("res").isNotNull()
+    ).select(
         "seq", "ri", F.col(f"res.{scopes}").alias("scopes"),
         C.attr_map(F.col("res.resource.attributes")).alias("rattrs"),
     )

@@ -1,8 +1,8 @@
-"""Engine configuration guards and partition sizing."""
+"""Engine configuration guards."""
 
 import pytest
 
-from costlens.config import EngineConfig, apply_unset, scale_settings
+from costlens.config import EngineConfig
 
 
 def test_salt_required_and_slices_divide_a_day():
@@ -11,18 +11,3 @@ def test_salt_required_and_slices_divide_a_day():
     with pytest.raises(ValueError):
         EngineConfig(salt="s", gap_bucket_seconds=7)
     assert EngineConfig(salt="s", gap_bucket_seconds=3600).gap_bucket_seconds == 3600
-
-
-def test_scale_settings_bounds():
-    small = scale_settings(10 << 20)
-    assert small["spark.sql.shuffle.partitions"] == "8"
-    big = scale_settings(100 << 40)
-    assert int(big["spark.sql.shuffle.partitions"]) == 200_000
-    mid = scale_settings(1 << 40)
-    assert int(mid["spark.sql.shuffle.partitions"]) == (1 << 40) // (256 << 20)
-
-
-def test_apply_unset_keeps_cluster_values(spark):
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
-    apply_unset(spark, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m"})
-    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "64m"
