@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from costlens.plans import registry
 from tests.conftest import SF_SMALL
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -39,15 +40,15 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.queries()) == set(registry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_matches_oracle(spark, duck, name):
-    sdf = entry.queries()[name](spark, SF_SMALL)
+    sdf = registry.queries()[name](spark, SF_SMALL)
     cols = sorted(sdf.columns)
     got = Counter(tuple(norm(r[c]) for c in cols) for r in sdf.collect())
-    cur = duck.execute(entry.oracle_sql()[name])
+    cur = duck.execute(registry.oracle_sql()[name])
     ocols = [d[0] for d in cur.description]
     assert sorted(ocols) == cols
     want = Counter(tuple(norm(dict(zip(ocols, r))[c]) for c in cols) for r in cur.fetchall())
