@@ -211,15 +211,16 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
     s = np.array(sizes)
     columns = [np.eye(n)[i] * (capacity // sizes[i]) for i in range(n)]
     basis = np.array(columns).T
-    inverse = np.linalg.inv(basis)
-    level = inverse @ np.array(demand, dtype=float)
-    for turn in range(rounds):
+    # Small dense algebra without BLAS, whose threads can stall beside a JVM.
+    inverse = np.diag(1 / np.diag(basis))
+    level = np.diag(inverse) * np.array(demand, dtype=float)
+    for _ in range(rounds):
         prices = inverse.sum(axis=0)
         worth, items = best_configuration(s, prices, capacity)
         if worth <= 1 + 1e-7:
             break
         column = np.bincount(items, minlength=n).astype(float)
-        step = inverse @ column
+        step = np.einsum("ij,j->i", inverse, column)
         ratios = np.where(step > 1e-9, level / np.where(step > 1e-9, step, 1), np.inf)
         leave = int(np.argmin(ratios))
         if not np.isfinite(ratios[leave]):
@@ -230,9 +231,6 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
         pivot = inverse[leave] / step[leave]
         inverse = inverse - np.outer(step, pivot)
         inverse[leave] = pivot
-        if turn % 50 == 49:  # keep rounding errors out
-            inverse = np.linalg.inv(basis)
-            level = np.maximum(inverse @ np.array(demand, dtype=float), 0)
     return [([int(round(x)) for x in basis[:, j]], float(level[j])) for j in range(n)]
 
 
