@@ -16,12 +16,18 @@ unlike a shared n-gram, a passage that many documents quote does not bring
 them together. ``spare`` fragments allow documents to leave out their empty
 segments; the few with more empty ones than that include them.
 
-*How groups stay linear.* Equal sets are one class, represented once. In a
-group of documents with an identical segment only hubs are compared with the
-rest; one that is linked to the hub needs no other comparison inside the same
-component. After each round links become components, groups inside one
-component leave, and the number of hubs grows fourfold, until every pair that
-meets is either counted or inside one component. Nothing is capped.
+*How groups stay linear.* Equal sets are one class, represented once. At first
+each set is compared with one hub only, the least member of the groups of
+identical segments that it is in; links become components, and groups inside
+one component leave. What is left, such as copies that were edited each in its
+own way and are no longer linked, is ordered anew: the n-grams of the open sets
+by their count among them, rarest first. Linked sets share one of their first
+``n * (100 - percent) / 100 + 1`` n-grams, and its places bound their overlap
+from above. An edit's n-grams are rare and come first, so copies with too many
+of them meet nobody. In a group that holds the same n-gram the members with
+the fewest rarer ones (those nearest to what the group has in common) are hubs,
+sixteen times more of them each round, until every pair that meets is counted, ruled
+out by its bound or inside one component. Nothing is capped.
 
 Defined results: null and empty texts, and texts of white space only, have an
 empty set and link with nothing; a null doc_id is reported, never used as a
@@ -36,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from costlens.llm import components, hashing
@@ -182,7 +188,7 @@ def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return summed.filter(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def link_sets(docs: DataFrame, described: DataFrame, words: int, percent: int, max_rounds: int = 12) -> DataFrame:
+def link_sets(docs: DataFrame, described: DataFrame, words: int, percent: int, max_rounds: int = 24) -> DataFrame:
     """(key, root) of every set that links to another one, root being one
     member's key for each component."""
     marks = described.select("key", "n", F.explode("marks").alias("mark"))
@@ -198,17 +204,17 @@ def link_sets(docs: DataFrame, described: DataFrame, words: int, percent: int, m
         "jaccard-segments",
     )
 
-    pending = met.select("mark", "key", "n", F.col("key").alias("label"))
+    pending = met.select("mark", "key", "n", F.lit(0).cast("long").alias("pos"), F.col("key").alias("label"))
     links, tried, labels = None, None, None
     hubs = 1
     for turn in range(max_rounds):
-        # Groups whose members are all in one component are done.
-        spread = pending.groupBy("mark").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
-        spread = spread.filter("lo != hi").select("mark", "size")
-        pending = materialise(pending.drop("size").join(spread, "mark"), "jaccard-pending")
-        hub_rows = _hubs(pending, hubs)
-        near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
-        pairs = pending.join(hub_rows, "mark").filter((F.col("label") != F.col("hub_label")) & near)
+        pending = materialise(_open_groups(pending, percent), "jaccard-pending")
+        largest = pending.agg(F.max("size")).first()[0]
+        if largest is None:
+            break
+        overlap = F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos"))
+        near = overlap * 100 >= (F.col("n") + F.col("hub_n") - overlap) * percent
+        pairs = pending.join(_hubs(pending, hubs), "mark").filter((F.col("label") != F.col("hub_label")) & near)
         if turn == 0:
             # One hub a set is enough for most groups: the least of its groups'.
             pairs = pairs.groupBy("key").agg(F.min("hub").alias("hub"))
@@ -216,40 +222,73 @@ def link_sets(docs: DataFrame, described: DataFrame, words: int, percent: int, m
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "jaccard-pairs")
-        open_groups = pending.limit(1).count()
-        if open_groups == 0:
-            break
         found = materialise(_overlaps(pairs, segments, percent), "jaccard-links")
         tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
-        labels = components.stars(links)
-        pending = (
-            pending.drop("label")
-            .join(labels.withColumnsRenamed({"node": "key", "root": "label"}), "key", "left")
-            .withColumn("label", F.coalesce("label", "key"))
-        )
-        if turn and hubs >= (pending.agg(F.max("size")).first()[0] or 0):
+        if links is None or found.limit(1).count():
+            links = found if links is None else links.union(found)
+            labels = components.stars(links)
+            pending = _relabel(pending, labels)
+        if turn and hubs >= largest:
             break  # every pair that meets has been counted
-        hubs = 1 if turn == 0 else hubs * 4
+        if turn == 0:
+            still = _open_groups(pending, percent).select("key", "label").distinct()
+            pending = _prefixes(materialise(still, "jaccard-open"), segments, percent)
+        else:
+            hubs *= 16
     else:
-        raise RuntimeError(f"groups of identical segments are not settled after {max_rounds} rounds")
+        raise RuntimeError(f"groups of sets that meet are not settled after {max_rounds} rounds")
     if labels is None:
         return met.select("key", F.col("key").alias("root")).limit(0)
     return labels.select(F.col("node").alias("key"), "root")
 
 
-def _hubs(pending: DataFrame, hubs: int) -> DataFrame:
-    """The ``hubs`` least members of each group, by a map-side top-k."""
-    member = F.struct(F.col("key").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
-    if hubs == 1:
-        least = pending.groupBy("mark").agg(F.min(F.struct(F.col("key"), F.col("n"), F.col("label"))).alias("h"))
-        return least.select("mark", F.col("h.key").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.label").alias("hub_label"))
-    from pyspark.sql import Window
+def _relabel(pending: DataFrame, labels: DataFrame) -> DataFrame:
+    return pending.join(labels.withColumnRenamed("node", "key"), "key", "left").select(
+        "mark", "key", "n", "pos", F.coalesce("root", "key").alias("label")
+    )
+
 
-    ranked = pending.select("mark", member.alias("h")).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("mark").orderBy("h.hub"))
+def _open_groups(pending: DataFrame, percent: int) -> DataFrame:
+    """The members, with their group's ``size``, of groups that are not inside
+    one component, less those whose place rules out every member's size."""
+    rows = pending.select("mark", "key", "n", "pos", "label")
+    spread = rows.groupBy("mark").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), F.min("n").alias("least_n")
     )
-    return ranked.filter(F.col("rank") <= hubs).select("mark", "h.*")
+    spread = spread.filter("lo != hi").select("mark", "size", "least_n")
+    possible = (F.col("n") - F.col("pos")) * 100 >= F.greatest(F.col("n"), F.col("least_n") + F.col("pos")) * percent
+    return rows.join(spread, "mark").filter(possible).drop("least_n")
+
+
+def _prefixes(still: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """(mark, key, n, pos, label): the n-grams of each open set by which it can
+    meet a linked one, with their places in its order from the rarest on.
+    N-grams that no other open set holds come first and meet nobody."""
+    held = segments.join(still.select("key"), "key", "left_semi").select("key", "n", F.explode("grams").alias("mark"))
+    counts = held.groupBy("mark").agg(F.count("*").alias("c")).filter("c > 1")
+    order = F.sort_array(F.collect_list(F.struct("c", "mark")))
+    common = held.join(counts, "mark").groupBy("key").agg(F.first("n").alias("n"), order.alias("g"))
+    most = F.expr(f"n * {100 - percent} div 100")
+    alone = F.col("n") - F.size("g")
+    first = common.filter(alone <= most).select(
+        "key", "n", alone.alias("alone"), F.posexplode(F.slice("g", F.lit(1), (most - alone + 1).cast("int"))).alias("i", "e")
+    )
+    placed = first.select(F.col("e.mark").alias("mark"), "key", "n", (F.col("alone") + F.col("i")).alias("pos"))
+    return materialise(placed.join(still, "key"), "jaccard-prefixes")
+
+
+def _hubs(pending: DataFrame, hubs: int) -> DataFrame:
+    """The ``hubs`` members of each group with the first places (ties: least
+    key), by a map-side top-k."""
+    member = F.struct("pos", F.col("key").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
+    if hubs == 1:
+        found = pending.groupBy("mark").agg(F.min(member).alias("h"))
+    else:
+        ranked = pending.select("mark", member.alias("h")).withColumn(
+            "rank", F.row_number().over(Window.partitionBy("mark").orderBy("h"))
+        )
+        found = ranked.filter(F.col("rank") <= hubs)
+    return found.select("mark", "h.hub", "h.hub_n", "h.hub_label", F.col("h.pos").alias("hub_pos"))
 
 
 def components_of(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
