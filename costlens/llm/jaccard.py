@@ -191,10 +191,15 @@ def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 def link_sets(docs: DataFrame, described: DataFrame, words: int, percent: int, max_rounds: int = 24) -> DataFrame:
     """(key, root) of every set that links to another one, root being one
     member's key for each component."""
-    marks = described.select("key", "n", F.explode("marks").alias("mark"))
+    # Marks travel with 64 bits of the key; the few that are shared get the
+    # whole key back. Two keys with the same 64 bits only meet more sets.
+    short = F.xxhash64("key").alias("id")
+    marks = described.select(short, F.explode("marks").alias("mark"))
     shared = marks.groupBy("mark").agg(F.count("*").alias("c")).filter("c > 1").select("mark")
     # A set that several tasks sent counts once; groups of one set leave.
-    met = materialise(marks.join(shared, "mark").distinct(), "jaccard-met")
+    ids = marks.join(shared, "mark").distinct()
+    sets = described.filter("n > 0").select(short, "key", "n").distinct()
+    met = materialise(ids.join(sets, "id").select("mark", "key", "n"), "jaccard-met")
 
     members = described.filter("n > 0").join(met.select("key").distinct(), "key", "left_semi")
     chosen = members.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
