@@ -174,11 +174,15 @@ def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
     )
 
 
-def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int, few: bool) -> DataFrame:
     """Linked pairs of ``pairs`` (columns a, b: set keys): partial overlaps of
-    each fragment, summed per pair."""
+    each fragment, summed per pair. Where ``few`` sets are in pairs, only their
+    segments are sent."""
     left = segments.select(F.col("key").alias("b"), "part", F.col("n").alias("nb"), F.col("grams").alias("gb"))
     right = segments.select(F.col("key").alias("a"), "part", F.col("n").alias("na"), F.col("grams").alias("ga"))
+    if few:
+        left = left.join(pairs.select("b"), "b", "left_semi")
+        right = right.join(pairs.select("a"), "a", "left_semi")
     partial = (
         pairs.join(left, "b")
         .join(right, ["a", "part"])
@@ -227,7 +231,7 @@ def link_sets(docs: DataFrame, described: DataFrame, words: int, percent: int, m
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "jaccard-pairs")
-        found = materialise(_overlaps(pairs, segments, percent), "jaccard-links")
+        found = materialise(_overlaps(pairs, segments, percent, few=turn > 0), "jaccard-links")
         tried = pairs if tried is None else tried.union(pairs)
         if links is None or found.limit(1).count():
             links = found if links is None else links.union(found)
