@@ -10,7 +10,7 @@ the same one.
 
 A run that very many documents share is reduced to its first place by a
 map-side aggregation and joined back by a join that can be split; runs that
-occur once leave before that. Hashes have 128 bits. Texts are sent once, to
+occur once leave before that. Hashes have 96 bits. Texts are sent once, to
 the join with what is removed from them.
 
 Defined results: null texts stay null, with no sentences; empty texts stay;
@@ -86,9 +86,9 @@ def _hash_runs(sentences: int, words: int):
                 for first, after in runs_of([len(p) for p in parts], sentences, words):
                     d = xxhash.xxh3_128_digest(b"\n".join(joined[first:after]))
                     high, low = np.frombuffer(d, dtype=np.int64).tolist()
-                    rows.append({"h": high, "l": low, "first": first, "after": after})
+                    rows.append({"h": high, "l": low >> 32, "first": first, "after": after})
                 lists.append(rows)
-            kind = pa.list_(pa.struct([("h", pa.int64()), ("l", pa.int64()), ("first", pa.int32()), ("after", pa.int32())]))
+            kind = pa.list_(pa.struct([("h", pa.int64()), ("l", pa.int32()), ("first", pa.int32()), ("after", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, kind)], ["row", "runs"])
 
     return run
@@ -126,7 +126,7 @@ def remove_repeats(docs: DataFrame, sentences: int = 2, words: int = 16) -> Data
     # Rows are known by doc_id and a hash of their text, so texts need no copy.
     named = docs.select(F.struct("doc_id", F.xxhash64("text").alias("key")).alias("row"), "text")
     row = f"struct<doc_id:{kind},key:bigint>"
-    hashed = named.mapInArrow(_hash_runs(sentences, words), f"row {row}, runs array<struct<h:long,l:long,first:int,after:int>>")
+    hashed = named.mapInArrow(_hash_runs(sentences, words), f"row {row}, runs array<struct<h:long,l:int,first:int,after:int>>")
     hashed = materialise(hashed.filter(F.size("runs") > 0), "sentence-runs")
     runs = hashed.select("row.doc_id", "row.key", F.explode("runs").alias("r")).select("doc_id", "key", "r.h", "r.l", "r.first", "r.after")
     # Smallest doc_id first, rows without one last.
