@@ -132,6 +132,9 @@ def remove_repeats(docs: DataFrame, sentences: int = 2, words: int = 16) -> Data
     # Smallest doc_id first, rows without one last.
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("key"), F.col("first"))
     firsts = runs.groupBy("h", "l").agg(F.min(place).alias("keep"), F.count("*").alias("c")).filter("c > 1").select("h", "l", "keep")
+    # Both sides of the join come from a shuffle of their own, so that adaptive
+    # execution can split the rows of a run that very many documents share.
+    firsts = materialise(firsts, "sentence-firsts").hint("merge")
     later = runs.join(firsts, ["h", "l"]).filter(place != F.col("keep"))
     covered = later.groupBy(F.col("doc_id").alias("covered_id"), F.col("key").alias("covered_key")).agg(
         F.collect_set(F.struct("first", "after")).alias("covered")
