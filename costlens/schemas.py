@@ -21,8 +21,6 @@ SPAN = T.StructType([
     T.StructField("name", S), T.StructField("startTimeUnixNano", S), T.StructField("endTimeUnixNano", S),
     T.StructField("attributes", ATTRIBUTES),
 ])
-# One typed parse per line; the raw span / record is re-serialised for
-# raw_payload (key order and spacing normalised, as a JSONB column would).
 TRACE_LINE = T.StructType([
     T.StructField("resourceSpans", T.ArrayType(T.StructType([
         T.StructField("resource", RESOURCE),
@@ -46,6 +44,22 @@ LOG_LINE = T.StructType([
     ]))),
 ])
 
+# The same lines with every span / record as its own JSON text (raw_payload).
+TRACE_LINE_TEXT = T.StructType([
+    T.StructField("resourceSpans", T.ArrayType(T.StructType([
+        T.StructField("scopeSpans", T.ArrayType(T.StructType([
+            T.StructField("spans", T.ArrayType(S)),
+        ]))),
+    ]))),
+])
+LOG_LINE_TEXT = T.StructType([
+    T.StructField("resourceLogs", T.ArrayType(T.StructType([
+        T.StructField("scopeLogs", T.ArrayType(T.StructType([
+            T.StructField("logRecords", T.ArrayType(S)),
+        ]))),
+    ]))),
+])
+
 COMMIT_RECORD = T.StructType([
     T.StructField("commit_sha", S), T.StructField("session_id", S), T.StructField("issue_key", S),
     T.StructField("developer_email", S), T.StructField("subject", S),

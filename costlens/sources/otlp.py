@@ -71,17 +71,25 @@ def _quarantine(df: DataFrame, source: str, checks: list[tuple[str, Column]], ra
     )
 
 
-def _items(docs: DataFrame, resources: str, scopes: str, items: str, cfg: EngineConfig):
+def _paired(typed: Column, text: Column) -> Column:
+    """The typed elements of an array beside their text form."""
+    return F.zip_with(typed, text, lambda x, t: F.struct(x.alias("typed"), t.alias("text")))
+
+
+def _items(docs: DataFrame, texts: T.StructType, resources: str, scopes: str, items: str, cfg: EngineConfig):
     """resource → scope → item explosion; attribute maps are built once per
-    resource and once per item. Returns (items, identities)."""
+    resource and once per item, and every item keeps its own JSON text
+    (``raw``), whatever the typed schema lists. Returns (items, identities)."""
     a = cfg.attributes
+    text = F.from_json("value", texts)
     # An outer explode and a filter on what it made: an inner one would have the
     # optimizer test the array's size, with its own parse, below the lines' source.
-    res = docs.select("seq", F.posexplode_outer(F.col(f"doc.{resources}")).alias("ri", "res")).filter(
-        F.col("res").isNotNull()
+    pairs = _paired(F.col(f"doc.{resources}"), text[resources])
+    res = docs.select("seq", F.posexplode_outer(pairs).alias("ri", "res")).filter(
+        F.col("res.typed").isNotNull()
     ).select(
-        "seq", "ri", F.col(f"res.{scopes}").alias("scopes"),
-        C.attr_map(F.col("res.resource.attributes")).alias("rattrs"),
+        "seq", "ri", _paired(F.col(f"res.typed.{scopes}"), F.col(f"res.text.{scopes}")).alias("scopes"),
+        C.attr_map(F.col("res.typed.resource.attributes")).alias("rattrs"),
     )
     raw_dev = C.or_unattributed(F.col("rattrs")[a.developer_id])
     identities = res.select(
@@ -90,8 +98,10 @@ def _items(docs: DataFrame, resources: str, scopes: str, items: str, cfg: Engine
     )
     out = (
         res.select("seq", "ri", "rattrs", F.posexplode("scopes").alias("si", "scope"))
-        .select("seq", "ri", "rattrs", "si", F.posexplode(F.col(f"scope.{items}")).alias("pi", "item"))
-        .select("seq", "ri", "si", "pi", "rattrs", "item", C.attr_map(F.col("item.attributes")).alias("attrs"))
+        .select("seq", "ri", "rattrs", "si",
+                F.posexplode(_paired(F.col(f"scope.typed.{items}"), F.col(f"scope.text.{items}"))).alias("pi", "pair"))
+        .select("seq", "ri", "si", "pi", "rattrs", F.col("pair.typed").alias("item"), F.col("pair.text").alias("raw"),
+                C.attr_map(F.col("pair.typed.attributes")).alias("attrs"))
     )
     return out, identities
 
@@ -127,7 +137,7 @@ def parse_traces(lines: DataFrame, cfg: EngineConfig) -> Parsed:
     """Trace lines → ``raw_spans`` rows (+ ``_seq`` order key)."""
     a = cfg.attributes
     docs, malformed, base = _split_lines(lines, schemas.TRACE_LINE, "traces", exploded=True)
-    spans, identities = _items(docs, "resourceSpans", "scopeSpans", "spans", cfg)
+    spans, identities = _items(docs, schemas.TRACE_LINE_TEXT, "resourceSpans", "scopeSpans", "spans", cfg)
     sp = lambda f: F.col(f"item.{f}")
     cost, tin, tout = (F.col("attrs")[k] for k in (a.cost_usd, a.input_tokens, a.output_tokens))
     start, end = C.nanos_to_timestamp(sp("startTimeUnixNano")), C.nanos_to_timestamp(sp("endTimeUnixNano"))
@@ -155,7 +165,7 @@ def parse_traces(lines: DataFrame, cfg: EngineConfig) -> Parsed:
         C.number_or_zero(cost, "decimal(12,6)").alias("cost_usd"),
         C.number_or_zero(tin, "bigint").alias("input_tokens"),
         C.number_or_zero(tout, "bigint").alias("output_tokens"),
-        F.to_json(F.col("item")).alias("raw_payload"),
+        F.col("raw").alias("raw_payload"),
         F.struct("seq", "ri", "si", "pi").alias("_seq"),
         _reason(checks).alias("_reason"),
     )
@@ -167,7 +177,7 @@ def parse_logs(lines: DataFrame, cfg: EngineConfig) -> Parsed:
     """Log lines → ``raw_events`` rows (+ ``_seq`` order key)."""
     a = cfg.attributes
     docs, malformed, base = _split_lines(lines, schemas.LOG_LINE, "logs", exploded=True)
-    recs, identities = _items(docs, "resourceLogs", "scopeLogs", "logRecords", cfg)
+    recs, identities = _items(docs, schemas.LOG_LINE_TEXT, "resourceLogs", "scopeLogs", "logRecords", cfg)
     cost, tin, tout = (F.col("attrs")[k] for k in (a.cost_usd, a.input_tokens, a.output_tokens))
     ts = C.nanos_to_timestamp(F.col("item.timeUnixNano"))
     checks = [
@@ -189,7 +199,7 @@ def parse_logs(lines: DataFrame, cfg: EngineConfig) -> Parsed:
         C.number_or_zero(cost, "decimal(12,6)").alias("cost_usd"),
         C.number_or_zero(tin, "bigint").alias("input_tokens"),
         C.number_or_zero(tout, "bigint").alias("output_tokens"),
-        F.to_json(F.col("item")).alias("raw_payload"),
+        F.col("raw").alias("raw_payload"),
         order.alias("_seq"),
         _reason(checks).alias("_reason"),
     )

@@ -86,3 +86,20 @@ def test_spans_kind_duration_and_duplicates(spark, cfg):
     kept = merge.spans_to_append(None, parsed.good).collect()
     assert len(kept) == 1 and kept[0]["span_kind"] == "tool"  # first in file order wins
     assert sorted(r["reason"] for r in parsed.quarantine.collect()) == ["missing_span_id", "missing_time"]
+
+
+def test_raw_payload_keeps_the_whole_item(spark, cfg):
+    span = {"spanId": "a", "traceId": "t", "name": "x", "kind": 3, "startTimeUnixNano": 1704067200000000000,
+            "endTimeUnixNano": "1704067201000000000", "status": {"code": 2, "message": "é \"q\""},
+            "events": [{"name": "e", "attributes": [kv("k", 1.50, "doubleValue")]}], "links": [{"traceId": "z"}],
+            "attributes": [{"key": "m", "value": {"kvlistValue": {"values": [kv("n", "v")]}}}, kv("b", "AAE=", "bytesValue")]}
+    record = {"timeUnixNano": "1704067200000000000", "severityNumber": 9, "severityText": "INFO",
+              "body": {"kvlistValue": {"values": [kv("n", "v")]}}, "attributes": [kv("event.name", "stop")]}
+    bad = dict(span, spanId=None)
+    lines = lines_df(spark, [span_line([span, bad], RES), span_line([dict(span, spanId="b")], RES)])
+    traces = otlp.parse_traces(lines, cfg)
+    got = [json.loads(r["raw_payload"]) for r in traces.good.orderBy("_seq").collect()]
+    assert got == [span, dict(span, spanId="b")]
+    assert [json.loads(r["raw"]) for r in traces.quarantine.collect()] == [bad]
+    logs = otlp.parse_logs(lines_df(spark, [log_line([record, dict(record, severityNumber=1)], None)]), cfg)
+    assert [json.loads(r["raw_payload"]) for r in logs.good.orderBy("_seq").collect()] == [record, dict(record, severityNumber=1)]
