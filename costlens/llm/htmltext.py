@@ -15,9 +15,11 @@ threshold, the subtree of the greatest density sum.
 Before densities are counted, elements that are not article text by their
 kind are cut out: scripts, styles, forms, menus, footers, asides, site
 headers, and elements whose role, class or id names them as adverts, notices,
-comments, sidebars and so on. Where the page marks its article (``article`` or
-``main``), the choice is made inside the body but never cuts the article
-apart: the chosen subtrees' common article is taken whole.
+comments, sidebars and so on. The result is all chosen subtrees in page order.
+Two of them are widened: one inside a marked article (``article`` or ``main``)
+to the whole article, and outside articles a paragraph or inline element to
+its block container below the body. If the body itself has the greatest sum
+and nothing chosen is in an article, the whole body is the result.
 
 Defined results: null, empty and text-less pages give an empty text; broken
 markup (unclosed, stray or cut-off tags) is read as browsers do for blocks;
@@ -44,6 +46,8 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 DROPPED = frozenset(
     "script style template noscript form button select option textarea input nav footer aside dialog menu head title iframe object embed svg canvas audio video map xmp noembed noframes".split()
 )
+ARTICLES = frozenset(("article", "main"))
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 br b i em strong span a".split())
 BLOCKS = frozenset(
     "address article blockquote body br center dd details dir div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption legend".split()
 )
@@ -258,37 +262,37 @@ def main_nodes(root: Node) -> list[Node]:
         if node is not body and node.density >= threshold and node.chars:
             chosen.append(_best(node) if node.sum else node)
         elif node is not body or children:
-            todo.extend(children)
-    picked = chosen or [body]
-    # Whole articles: what was chosen stands for the article around it.
-    whole: dict[int, Node] = {}
-    for node in picked:
-        outer, up = None, node
-        while up is not None:
-            if up.tag in ("article", "main"):
-                outer = up
+            todo.extend(reversed(children))  # in page order
+    widened = [_widened(node, body) for node in chosen]
+    if not chosen or top is body and not any(x.tag in ARTICLES for x in widened):
+        return [body]  # the body is itself the subtree of the greatest sum
+    # Nodes inside other chosen ones go; the rest is in page order.
+    ids = {id(x) for x in widened}
+    kept: dict[int, Node] = {}
+    for node in widened:
+        up = node.parent
+        while up is not None and id(up) not in ids:
             up = up.parent
-        if outer is not None:
-            whole[id(outer)] = outer
-    if whole:
-        return list(whole.values())
-    # No marked article: the nodes' common ancestor keeps the short blocks between them.
-    paths = []
-    for node in picked:
-        path, up = [], node
-        while up is not None:
-            path.append(up)
-            up = up.parent
-        paths.append(path[::-1])
-    common = body
-    for level in zip(*paths):
-        if any(x is not level[0] for x in level):
-            break
-        common = level[0]
-    if common.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "br", "b", "i", "em", "strong", "span", "a") and common.parent is not None:
-        while common.tag not in ("div", "section", "body", "td", "html", "main", "article") and common.parent is not None:
-            common = common.parent
-    return [common]
+        if up is None:
+            kept[id(node)] = node
+    return list(kept.values())
+
+
+def _widened(node: Node, body: Node) -> Node:
+    """The outermost marked article around a chosen node; outside articles a
+    chosen paragraph or inline element stands for its block container, short
+    of the body, and any other node for itself."""
+    outer, up = None, node
+    while up is not None:
+        if up.tag in ARTICLES:
+            outer = up
+        up = up.parent
+    if outer is not None:
+        return outer
+    up = node
+    while up is not None and up is not body and up.tag in PARAGRAPHS:
+        up = up.parent
+    return node if up is None or up is body else up
 
 
 def blocks_of(nodes: list[Node]) -> list[str]:

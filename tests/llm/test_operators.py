@@ -213,6 +213,22 @@ def test_html_extraction(spark):
     assert htmltext.main_text(pages.limit(0)).count() == 0
 
 
+def test_html_keeps_all_picks_in_page_order():
+    para = lambda w, n=40: "<p>" + f"{w} text of the page " * n + "</p>"
+    nav = "<nav><a href=1>menu</a></nav>"
+    two = f"<body>{nav}<article>{para('one') * 3}</article><article>{para('two') * 3}</article></body>"
+    text = htmltext.extract(two)
+    assert text.count("one text") == text.count("two text") == 120 and text.index("one text") < text.index("two text")
+    links = "<div>" + "<a href=x>elsewhere on this site</a> " * 30 + "</div>"
+    card = f"<body>{nav}<div class='entry'>{para('main') * 5}</div>{links}<article class='card'>{para('card')}</article></body>"
+    text = htmltext.extract(card)
+    assert text.count("main text") == 200 and text.count("card text") == 40
+    assert text.index("main text") < text.index("card text") and "elsewhere" not in text
+    halves = f"<body><div class='a'>{para('main') * 5}</div>{links}<div class='b'>{para('rest') * 5}</div></body>"
+    text = htmltext.extract(halves)
+    assert text.count("main text") == text.count("rest text") == 200 and "elsewhere" not in text
+
+
 def test_hilbert_curve_visits_neighbours(spark):
     axis = lambda n: spark.range(8).select(F.col("id").cast("int").alias(n))
     cells = axis("x").crossJoin(axis("y")).crossJoin(axis("z"))
