@@ -7,8 +7,11 @@ graph that Spark scores in turns. A pattern's confidence for a kind is the
 mean score of the distinct instances it meets; an instance's score is the
 noisy-or of its confident patterns. Seeds stay at one, so a context that meets
 ordinary tokens as well stays weak. Patterns that reach ``confidence`` with at
-least ``support`` distinct seeds bring in the unseen identifiers they meet;
-these add spans of the pattern's kind, seeds' spans all stay.
+least ``support`` distinct seeds or accepted instances bring in the unseen
+identifiers they meet; those whose own score reaches ``confidence`` are
+accepted, support further patterns, and add spans of the pattern's kind, seeds'
+spans all stay. The turns go on until no new pattern or instance appears and no
+score rises any more.
 
 Only DataFrame functions run here. The base patterns are written so that each
 is linear in the text: a match starts where its run of characters starts, and
@@ -43,6 +46,8 @@ NAMED = "array<struct<kind:string,start:int,end:int,value:string>>"
 SPAN = "array<struct<start:int,end:int,value:string>>"
 #: Characters of context that patterns may look at on either side.
 REACH = 64
+#: Scores that rise by no more than this in a turn have settled.
+SETTLED = 1e-6
 
 
 def _luhn(digits: Column) -> Column:
@@ -157,7 +162,7 @@ def scan(docs: DataFrame, keep_rows: bool = False) -> DataFrame:
     return materialise(based.select("uid", "doc_id", *rest, "base", around(seen).alias("seen")), "personal-scan")
 
 
-def discover(scanned: DataFrame, turns: int = 3, confidence: float = 0.8, support: int = 3) -> DataFrame:
+def discover(scanned: DataFrame, confidence: float = 0.8, support: int = 3) -> DataFrame:
     """Added spans: uid, kind, start, end."""
     seen = materialise(scanned.select("uid", F.explode("seen").alias("s")).select("uid", "s.*"), "personal-seen")
     edges = materialise(
@@ -166,28 +171,40 @@ def discover(scanned: DataFrame, turns: int = 3, confidence: float = 0.8, suppor
         .agg(F.max("kind").alias("seed")),
         "personal-graph",
     )
-    seeds = edges.filter("seed != ''").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("score"), F.lit(1).alias("seeds")).distinct()
-    scores, strong = seeds, None
-    for _ in range(turns):
+    seeds = edges.filter("seed != ''").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("score"), F.lit(1).alias("known")).distinct()
+    scores, found, known = seeds, None, 0
+    while True:
         met = edges.groupBy("pattern").agg(F.count("*").alias("met"))
         confident = (
             edges.join(scores, "value")
             .groupBy("pattern", "kind")
-            .agg(F.sum("score").alias("mass"), F.sum("seeds").alias("seeds"))
+            .agg(F.sum("score").alias("mass"), F.sum("known").alias("known"))
             .join(met, "pattern")
-            .withColumn("confidence", F.col("mass") / F.col("met"))
-            .filter((F.col("confidence") >= confidence) & (F.col("seeds") >= support))
+            .withColumn("confidence", F.least(F.col("mass") / F.col("met"), F.lit(1.0)))
+            .filter((F.col("confidence") >= confidence) & (F.col("known") >= support))
         )
         strong = materialise(confident.select("pattern", "kind", "confidence"), "personal-patterns")
-        found = (
+        scored = (
             edges.filter("seed = ''")
             .join(strong, "pattern")
             .groupBy("value", "kind")
             .agg((1 - F.exp(F.sum(F.log(1.0001 - F.col("confidence"))))).alias("score"))
         )
-        best = found.groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b")).select("value", F.col("b.kind").alias("kind"), F.col("b.score").alias("score"), F.lit(0).alias("seeds"))
-        scores = materialise(seeds.unionByName(best), "personal-scores")
-    accepted = scores.filter((F.col("seeds") == 0) & (F.col("score") >= confidence)).select("value", F.col("kind").alias("new_kind"))
+        # An instance keeps the kind it first got, so scores only rise.
+        if found is None:
+            scored = scored.withColumn("old", F.lit(0.0))
+        else:
+            before = found.select("value", F.col("kind").alias("old_kind"), F.col("score").alias("old"))
+            scored = scored.join(before, "value", "left").filter("old_kind IS NULL OR old_kind = kind").withColumn("old", F.coalesce("old", F.lit(0.0)))
+        best = scored.groupBy("value").agg(F.max(F.struct("score", "kind", "old")).alias("b")).select("value", "b.kind", "b.score", "b.old")
+        found = materialise(best.withColumn("known", (F.col("score") >= confidence).cast("int")), "personal-scores")
+        now = found.agg(F.sum("known").alias("known"), F.max(F.col("score") - F.col("old")).alias("rise")).first()
+        # New instances and patterns show as a rise; without one the next turn repeats this one.
+        if (now.rise or 0.0) <= SETTLED and (now.known or 0) == known:
+            break
+        known = now.known
+        scores = seeds.unionByName(found.drop("old").join(seeds.select("value"), "value", "left_anti"))
+    accepted = found.filter("known = 1").select("value", F.col("kind").alias("new_kind"))
     return seen.filter("kind = ''").join(accepted, "value").select("uid", F.col("new_kind").alias("kind"), "start", "end").distinct()
 
 

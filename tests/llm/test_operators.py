@@ -371,6 +371,24 @@ def test_personal_patterns_discover(spark):
     assert all(got[i].count("email:") == 1 for i in range(8))
 
 
+def test_personal_discovery_goes_on_from_what_it_found(spark):
+    """An identifier whose context meets discovered identifiers only, and one
+    behind that."""
+    one = lambda i, x: f"{prose(300 + i, 9)} contact via mail: {x} now {prose(400 + i, 9)}"
+    two = lambda i, x: f"{prose(500 + i, 9)} under handle {x} please {prose(600 + i, 9)}"
+    three = lambda i, x: f"{prose(700 + i, 9)} known as {x} here {prose(800 + i, 9)}"
+    name = lambda i: f"user{1000 + i}[at]host"
+    rows = {i: one(i, f"user{i}@host{i}.example.org") for i in range(60)}
+    rows |= {100 + i: one(60 + i, name(i)) for i in range(10)}
+    rows |= {200 + i: two(i, name(i)) for i in range(11)}  # name 10 is met here first
+    rows |= {300 + i: three(i, name(i)) for i in range(4, 12)}  # name 11 only here
+    rows[400] = f"{prose(900, 9)} order number 1234567 shipped"
+    got = {r.doc_id: r.spans for r in personal.find(frame(spark, rows)).collect()}
+    for i, t in rows.items():
+        want = "" if i == 400 else f"email:{t.index('user')}:{t.index(' ', t.index('user'))}"
+        assert got[i] == want
+
+
 def test_personal_redaction(spark):
     docs = frame(spark, {1: "é a@b.cc, 10.0.0.1@x.y!", 2: None, 3: "plain"})
     out = personal.redact(docs)
