@@ -11,6 +11,9 @@ template's bigrams occurs in the text at all.
 Templates are given (they do not grow with the data) and travel with the task.
 Texts are read once, nothing is shuffled.
 
+Where passages overlap, the one with the most common bigrams less those that
+differ stays (a whole licence before a notice inside it).
+
 Defined results: null, empty and word-less texts have no licence; ties go to
 the larger overlap, then to the first licence by name; repeated rows are
 scanned one by one; an empty table gives an empty result.
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame
 
 from costlens.llm import hashing
 from costlens.llm.common import small_batches
+from costlens.llm.licence_texts import TEXTS
 
 # Published licence texts and notices, by SPDX name.
 TEMPLATES: dict[str, list[str]] = {
@@ -60,10 +64,51 @@ TEMPLATES: dict[str, list[str]] = {
     ],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+
+
+def _gnu(kind: str, version: str, work: str = "This program") -> str:
+    """The usual notice of the GNU licences."""
+    thing = work.split()[-1]
+    return (
+        f"{work} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by "
+        f"the Free Software Foundation, either version {version} of the License, or (at your option) any later version. {work} is distributed in the "
+        f"hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        f"PURPOSE. See the GNU {kind} for more details. You should have received a copy of the GNU {kind} along with this {thing}"
+    )
+
+
+def _gnu_notices(kind: str, version: str, work: str = "This program") -> list[str]:
+    whole = _gnu(kind, version, work)
+    first = whole[: whole.index(" " + work + " is distributed")]
+    return [
+        first,
+        first.replace(", or (at your option) any later version.", "."),
+        whole + ". If not, see <https://www.gnu.org/licenses/>.",
+        whole + "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA",
+        f"This work is licensed under the GNU {kind}, version {version}.",
+    ]
+
+
+_CC = "This work is licensed under a Creative Commons {} International License."
+_NOTICES: dict[str, list[str]] = {
+    "AGPL-3.0": _gnu_notices("Affero General Public License", "3"),
+    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", _CC.format("Attribution-NoDerivatives 4.0"), _CC.format("Attribution-NoDerivs 4.0")],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", _CC.format("Attribution-NonCommercial-ShareAlike 4.0")],
+    "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0.", _CC.format("Attribution-NonCommercial-NoDerivatives 4.0")],
+    "GPL-2.0": _gnu_notices("General Public License", "2"),
+    "GPL-3.0": _gnu_notices("General Public License", "3"),
+    "LGPL-2.1": _gnu_notices("Lesser General Public License", "2.1", "This library"),
+    "LGPL-3.0": _gnu_notices("Lesser General Public License", "3") + _gnu_notices("Lesser General Public License", "3", "This library"),
+}
+for _name, _more in _NOTICES.items():
+    TEMPLATES.setdefault(_name, []).extend(x for x in _more if x not in TEMPLATES.get(_name, []))
+for _name, _text in TEXTS.items():
+    TEMPLATES[_name].append(_text)
 # End of the fixed values.
 
 #: Lookup bits for the templates' bigrams.
-_BITS = 16
+_BITS = 22
 
 
 def bigrams(text: np.ndarray) -> tuple[np.ndarray, int]:
@@ -80,24 +125,28 @@ class Template:
         self.length = len(order)
 
 
-def best_passage(order: np.ndarray, template: Template, threshold: float) -> tuple[float, int, int] | None:
-    """Dice, first and last bigram of the passage of the template's length
-    that is most like it, or None below the threshold."""
-    at = np.flatnonzero(np.isin(order, template.grams))
-    need = threshold / (2 - threshold) * len(template.grams)
+def best_passage(order: np.ndarray, at: np.ndarray, template: Template, threshold: float) -> tuple[float, int, int, int] | None:
+    """Dice, first and last bigram and net overlap of the passage of the
+    template's length that is most like it, or None below the threshold.
+    ``at`` are the places of the template's bigrams."""
+    size = len(template.grams)
+    need = threshold / (2 - threshold) * size
     if len(at) < need:
         return None
     best = None
-    for i, start in enumerate(at.tolist()):
-        # Passages that begin with a bigram of the template.
-        last = int(np.searchsorted(at, start + template.length))
-        if last - i < need:
+    # Passages that begin with a bigram of the template.
+    hits = np.searchsorted(at, at + template.length) - np.arange(len(at))
+    for i in np.flatnonzero(hits >= need).tolist():
+        # No passage has more common bigrams than hits.
+        top = min(int(hits[i]), size)
+        if best is not None and 2 * top / (top + size) <= best[0]:
             continue
+        start = int(at[i])
         unit = np.unique(order[start : start + template.length])
         both = len(np.intersect1d(unit, template.grams, assume_unique=True))
-        dice = 2 * both / (len(unit) + len(template.grams))
+        dice = 2 * both / (len(unit) + size)
         if dice >= threshold and (best is None or dice > best[0]):
-            best = (dice, start, min(start + template.length, len(order)))
+            best = (dice, start, min(start + template.length, len(order)), 3 * both - len(unit) - size)
     return best
 
 
@@ -107,10 +156,11 @@ def licences_of(text: np.ndarray | None, templates: list[Template], known: np.nd
     order, words = bigrams(text)
     if not words:
         return 0, []
-    found: dict[str, dict] = {}
-    some = np.flatnonzero(known[order >> np.uint64(64 - _BITS)])
+    found: list[dict] = []
+    some = np.flatnonzero(known[order >> np.uint64(65 - len(known).bit_length())])
     if not len(some):
         return words, []
+    grams = order[some]
     whole = None
     for t in templates:
         low, high = threshold / (2 - threshold) * len(t.grams), (2 - threshold) / threshold * len(t.grams)
@@ -121,21 +171,25 @@ def licences_of(text: np.ndarray | None, templates: list[Template], known: np.nd
             whole = np.unique(order)
         if whole is not None and low <= len(whole) <= high:
             both = len(np.intersect1d(whole, t.grams, assume_unique=True))
-            options.append((2 * both / (len(whole) + len(t.grams)), 0, len(order)))
-        passage = best_passage(order, t, threshold)
+            options.append((2 * both / (len(whole) + len(t.grams)), 0, len(order), 3 * both - len(whole) - len(t.grams)))
+        passage = best_passage(order, some[np.isin(grams, t.grams)], t, threshold)
         if passage:
             options.append(passage)
-        for dice, start, end in options:
-            old = found.get(t.name)
-            if dice >= threshold and (old is None or dice > old["dice"]):
-                found[t.name] = {"licence": t.name, "dice": dice, "start_word": start, "end_word": min(end + 1, words), "grams": len(t.grams)}
-    # Of licences whose passages overlap, the likest stays.
-    ranked = sorted(found.values(), key=lambda x: (-x["dice"], -x["grams"], x["licence"]))
+        for dice, start, end, net in options:
+            if dice >= threshold:
+                found.append({"licence": t.name, "dice": dice, "start_word": start, "end_word": min(end + 1, words), "grams": len(t.grams), "net": net})
+    # Of passages that overlap, the one stays that explains most: its common
+    # bigrams less those that differ. So a whole text goes before a notice that
+    # is a part of it, and among neighbours of like length the likest stays.
     kept: list[dict] = []
-    for x in ranked:
+    for x in sorted(found, key=lambda x: (-x["net"], -x["dice"], x["licence"])):
         if not any(x["start_word"] < k["end_word"] and k["start_word"] < x["end_word"] for k in kept):
             kept.append(x)
-    return words, [{k: x[k] for k in ("licence", "dice", "start_word", "end_word")} for x in kept]
+    # Each licence once, at its likest place.
+    ranked: dict[str, dict] = {}
+    for x in sorted(kept, key=lambda x: (-x["dice"], -x["grams"], x["licence"])):
+        ranked.setdefault(x["licence"], x)
+    return words, [{k: x[k] for k in ("licence", "dice", "start_word", "end_word")} for x in ranked.values()]
 
 
 def _task(texts: dict[str, list[str]], threshold: float):

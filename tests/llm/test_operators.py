@@ -428,6 +428,34 @@ def test_licence_scan_finds_every_passage_brute_force_finds():
     assert max(best, key=best.get) in found
 
 
+GNU_NOTICE = """{0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} as published by
+the Free Software Foundation{1} either version {3} of the License, or (at your option) any later version. {0} is distributed in the hope that it
+will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+{2} for more details."""
+
+
+def test_licence_neighbours_and_whole_texts():
+    templates = [licences.Template(n, t) for n in sorted(licences.TEMPLATES) for t in licences.TEMPLATES[n]]
+    known = np.ones(1 << 16, dtype=bool)
+    of = lambda text: [x["licence"] for x in licences.licences_of(np.frombuffer(text.encode(), dtype=np.uint8), templates, known, 0.85)[1]]
+    lesser, affero = "Lesser General Public License", "Affero General Public License"
+    notices = {
+        "GPL-2.0": ("This program", ";", "General Public License", "2"), "GPL-3.0": ("This program", ",", "General Public License", "3"),
+        "AGPL-3.0": ("This program", ",", affero, "3"), "LGPL-2.1": ("This library", ";", lesser, "2.1"), "LGPL-3.0": ("This library", ",", lesser, "3"),
+    }
+    for name, parts in notices.items():
+        notice = GNU_NOTICE.format(*parts)
+        for text in (notice, notice.split(" any later version.")[0] + " any later version."):
+            assert of(prose(1, 40) + " " + text + " " + prose(2, 40)) == [name]
+    for kind, name in (("Attribution", "BY"), ("Attribution-NoDerivatives", "BY-ND"), ("Attribution-NonCommercial-ShareAlike", "BY-NC-SA")):
+        assert of(f"{prose(1, 9)} This work is licensed under a Creative Commons {kind} 4.0 International License. {prose(2, 9)}") == [f"CC-{name}-4.0"]
+    for name in licences.TEXTS:
+        whole = licences.TEXTS[name]
+        assert of(whole) == [name]
+        assert of(prose(3, 60) + " Copyright 2020 A. B. " + whole.replace("\n", " ") + prose(4, 60)) == [name]
+    assert {"AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= set(licences.TEXTS)
+
+
 def test_sentence_spans(spark, texts):
     shared = prose(77, 60)
     rows = dict(texts) | {70: prose(78, 40) + ".\n" + shared + " " + prose(79, 30), 71: shared + "\n" + prose(80, 30) + ".\n" + shared, 72: prose(81, 70)}
