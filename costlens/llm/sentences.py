@@ -1,6 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences. From every sentence on, and up to every
+A text is cut into sentences, and long sentences into parts at words that their
+own content chooses (both are called sentences below), so that a repeated
+passage of 50 words or more always holds a run, whatever its marks. From every sentence on, and up to every
 sentence, the shortest run of at least ``sentences`` consecutive sentences
 with at least ``words`` words is hashed (both ways, so that the ends of a
 repeated passage are covered too). Runs are joined globally by their hash. The
@@ -14,7 +16,7 @@ occur once leave before that. Hashes have 96 bits. Texts are sent once, to
 the join with what is removed from them.
 
 Defined results: null texts stay null, with no sentences; empty texts stay;
-a text that is one long sentence has no run and stays; rows that repeat doc_id
+a text of fewer words than a run has none and stays; rows that repeat doc_id
 and text are one document and get the same result each; other ties in doc_id
 are ordered by a hash of the text; a null doc_id sorts last; an empty table
 gives an empty result; other columns are not read.
@@ -23,6 +25,7 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +39,35 @@ from costlens.llm.common import materialise, small_batches
 # A sentence ends after its marks and closing quotes at white space, or at a
 # line feed; the white space belongs to it.
 END = re.compile(r"[.!?…]+[\"'”’»)\]]*\s+|\n\s*")
+WORD = re.compile(r"\S+")
+#: With it any repeated passage of 50 words holds, wherever it starts, a run
+#: of two parts and 16 words: the parts' bounds in its words 10 to 42 are the
+#: same in all copies, the first of them among the first 9, the last as well.
+WINDOW = 9
 
 
 def sentences_of(text: str) -> list[tuple[int, int]]:
-    """Bounds of the sentences in characters; together they are the text."""
-    cuts = [0, *(m.end() for m in END.finditer(text)), len(text)]
-    return [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
+    """Bounds of the sentences, and of the parts of long ones, in characters;
+    together they are the text.
+
+    A sentence is also cut before every word that has the least hash among
+    ``WINDOW`` words in a row of which none begins a sentence. Cuts thus depend
+    on the words near them only, copies are cut alike, and no part has more
+    than ``WINDOW`` words."""
+    ends = [m.end() for m in END.finditer(text)]
+    cuts = {0, *ends, len(text)}
+    words = [(m.start(), m.group()) for m in WORD.finditer(text)]
+    if len(words) > WINDOW:
+        starts = np.array([at for at, _ in words])
+        hashes = np.array([zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) for _, w in words], dtype=np.int64)
+        begins = np.isin(starts, ends)
+        begins[0] = True
+        windows = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)
+        total = np.concatenate([[0], np.cumsum(begins)])
+        inside = np.flatnonzero(total[WINDOW:] == total[:-WINDOW])
+        cuts.update(starts[inside + windows[inside].argmin(axis=1)].tolist())
+    bounds = sorted(cuts)
+    return [(a, b) for a, b in zip(bounds, bounds[1:])]
 
 
 def runs_of(counts: list[int], sentences: int, words: int) -> set[tuple[int, int]]:

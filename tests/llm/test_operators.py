@@ -479,3 +479,23 @@ def test_sentence_spans(spark, texts):
     want.append(want[-1])  # rows that repeat doc_id and text get the same result
     assert got == sorted(want, key=str)
     assert sentences.remove_repeats(empty(spark)).count() == 0
+
+
+def test_repeats_without_sentence_ends_go(spark):
+    """Passages of 50 words without a whole sentence, at any place in a text
+    without marks or inside one long sentence."""
+    words = lambda seed, n: prose(seed, n).replace(".", "")
+    for seed in range(200):
+        passage = words(1000 + seed, 50)
+        texts_ = (f"{words(2000 + seed, 20 + seed % 9)} {passage} {words(3000 + seed, 30)}", f"{words(4000 + seed, seed % 13)} {passage.upper()} {words(5000 + seed, 20)}".strip())
+        runs = []
+        for t in texts_:
+            parts = [t[a:b].lower().split() for a, b in sentences.sentences_of(t)]
+            assert "".join(t[a:b] for a, b in sentences.sentences_of(t)) == t
+            runs.append({tuple(map(tuple, parts[a:b])) for a, b in sentences.runs_of([len(p) for p in parts], 2, 16)})
+        assert runs[0] & runs[1]
+    row = words(1, 60)
+    docs = frame(spark, {1: row, 2: row, 3: f"{prose(2, 40)}. {words(3, 30)} {row} {words(4, 30)}", 4: words(5, 60)})
+    got = {r.doc_id: r for r in sentences.remove_repeats(docs).collect()}
+    assert got[1].text == row and got[2].text == "" and got[4].n_removed == 0
+    assert got[3].n_removed > 0 and len(got[3].text.split()) <= 40 + 30 + 30 + 26
