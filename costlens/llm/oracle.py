@@ -48,4 +48,62 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM r GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op5_benchmark_decontamination": OP5, "op7_chat_formatting": OP7}
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, w, len(w) AS n FROM (SELECT doc_id, {_words('text')} AS w FROM documents) WHERE len(w) > 0),
+q AS (SELECT item_id, text, term, count(*) AS repeats FROM (SELECT item_id, text, unnest({_words('text')}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+totals AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS total FROM d),
+tfs AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+weights AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS wt FROM tfs, totals GROUP BY term, nd),
+impacts AS (SELECT r, doc_id, term, wt * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // total))) AS impact FROM tfs JOIN weights USING (term), totals),
+scored AS (SELECT item_id, text, r, any_value(doc_id) AS doc_id, sum(repeats * impact)::BIGINT AS score FROM q JOIN impacts USING (term) GROUP BY item_id, text, r),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+# Base32 takes five bits a character: 20 bits are five hexadecimal digits and four characters.
+OP12 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  list_reduce(list_transform(range(8), lambda i: list_reduce(list_transform(range(4), lambda j:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (5 * i + 1)::INTEGER, 5))::BIGINT >> (15 - 5 * j)::INTEGER) & 31)::INTEGER + 1, 1)),
+    lambda a, b: a || b)), lambda a, b: a || b) AS payload_digest,
+  CASE WHEN page_id = first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM p JOIN f USING (h)
+"""
+
+# The crc32 of each distinct word, a byte at a time by the table of its polynomial.
+OP13 = f"""
+WITH crc AS (SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n) ORDER BY n) AS t FROM range(256) AS r(n)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_words('text')} AS w FROM documents),
+dw AS (SELECT r, unnest(w) AS word FROM d),
+bw AS (SELECT unnest({_words('text')}) AS word FROM benchmark),
+words AS (
+  SELECT word, xor(4294967295, list_reduce(
+    list_transform(range(strlen(word)), lambda i: ('0x' || substr(hex(encode(word)), (2 * i + 1)::INTEGER, 2))::BIGINT),
+    lambda c, b: xor(t[(xor(c, b) & 255)::INTEGER + 1], c >> 8), 4294967295::BIGINT)) % 10000 AS bucket
+  FROM (SELECT word FROM dw UNION SELECT word FROM bw), crc),
+s AS (SELECT bucket, count(*) AS n FROM dw JOIN words USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM bw JOIN words USING (word) GROUP BY bucket),
+totals AS (SELECT (SELECT coalesce(sum(n), 0) + 10000 FROM s)::DOUBLE AS ss, (SELECT coalesce(sum(n), 0) + 10000 FROM t)::DOUBLE AS tt),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t.n, 0) + 1)::DOUBLE * ss) / ((s.n + 1)::DOUBLE * tt)))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket), totals),
+weights AS (SELECT r, sum(gain)::BIGINT AS weight FROM dw JOIN words USING (word) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (r)),
+drawn AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, weight, n_features) AS rank FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM drawn) // 100 THEN rank END AS rank
+FROM scored LEFT JOIN drawn USING (r)
+"""
+
+ORACLE_SQL = {
+    "op5_benchmark_decontamination": OP5,
+    "op7_chat_formatting": OP7,
+    "op11_lexical_search": OP11,
+    "op12_warc_archives": OP12,
+    "op13_importance_resampling": OP13,
+}

@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from costlens.llm import chat, decontaminate, hilbert, htmltext, jaccard, licences, packing, personal, quality, sentences
+from costlens.llm import (
+    chat,
+    decontaminate,
+    hilbert,
+    htmltext,
+    importance,
+    jaccard,
+    lexical,
+    licences,
+    packing,
+    personal,
+    quality,
+    sentences,
+    warc,
+)
 from costlens.llm.common import default_tokenizer, read_table
 from costlens.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
@@ -60,6 +74,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(read_table(spark, sf_dir, "pages")).drop("problem")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.report(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), ngrams=1, buckets=10000, seed="2024", percent=10, min_words=20
+    )
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_html_extraction": op2_html_extraction,
@@ -71,5 +99,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_contextual_pii": op9_contextual_pii,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_warc_archives": op12_warc_archives,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
