@@ -246,7 +246,7 @@ def _write_task(folder: str, archive_bytes: int, dictionary_bytes: int, level: i
         def close(records: list[bytes]) -> pa.RecordBatch:
             name = f"{uuid.uuid4().hex}.warc.zst"
             content = archive_bytes_of(records, dictionary_bytes, level)
-            with store.open_output_stream(f"{path}/{name}") as out:
+            with store.open_output_stream(f"{path}/{name}", compression=None) as out:
                 out.write(content)
             values = [[f"{folder}/{name}"], [len(records)], [len(content)]]
             kinds = (pa.string(), pa.int64(), pa.int64())
@@ -331,7 +331,7 @@ def _read_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for archive in batch.column(0).to_pylist():
             store, path = pyarrow.fs.FileSystem.from_uri(archive)
-            with store.open_input_stream(path) as stream:
+            with store.open_input_stream(path, compression=None) as stream:
                 yield from _rows_of(archive, stream.read)
 
 
