@@ -62,6 +62,8 @@ SESSION_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # OTLP attribute lists may repeat a key; the later one wins.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # So does the later of two equal keys of a JSON object.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

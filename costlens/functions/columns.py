@@ -41,6 +41,12 @@ def attr_map(attrs: Column) -> Column:
     return F.map_from_entries(entries)
 
 
+def surrogate_id(place: Column) -> Column:
+    """A row's id from a struct that says where it stands: 32 hex digits, the
+    same on every read."""
+    return F.substring(F.sha2(F.to_json(place), 256), 1, 32)
+
+
 def nanos_to_timestamp(nanos: Column) -> Column:
     """Integer nanoseconds (as text) to a millisecond timestamp; missing,
     zero or non-integer input gives null."""

@@ -86,21 +86,45 @@ def _turn_slices(events: DataFrame, ceiling_seconds: int, bucket_seconds: int) -
     )
 
 
+_FIXED = [("w_issue", "string"), ("w_dev", "string"), ("wait_us", "bigint"), ("w_start", "timestamp"),
+          ("w_end", "timestamp"), ("n_wait", "bigint"), ("cost", "decimal(22,6)"), ("n_cost", "bigint")]
+
+
+def _fixed_groups(spans: DataFrame, events: DataFrame | None, bucket_seconds: int | None = None) -> DataFrame:
+    """Wait and cost rows added up by session (and slice), ticket and developer.
+
+    Sums and times have buffers of fixed width, so this step over raw rows
+    is a hash aggregation; the greatest ticket and developer of a session,
+    whose string buffers need a sorted one, are taken from its few groups."""
+    def side(df: DataFrame, ts: str, **present) -> DataFrame:
+        keys = [F.col("session_id")]
+        if bucket_seconds is not None:
+            keys.append(slice_of(F.col(ts), bucket_seconds).alias("slice"))
+        return df.select(*keys, *[(present[n] if n in present else F.lit(None)).cast(t).alias(n) for n, t in _FIXED])
+
+    wait = spans.filter(F.col("span_kind").isin(*WAIT_KINDS) & F.col("session_id").isNotNull())
+    rows = side(wait, "start_ts", w_issue=F.col("issue_key"), w_dev=F.col("developer_id"),
+                wait_us=C.duration_micros(F.col("start_ts"), F.col("end_ts")), w_start=F.col("start_ts"),
+                w_end=F.col("end_ts"), n_wait=F.lit(1))
+    if events is not None:
+        cost = events.filter((F.col("event_name") == API_REQUEST) & F.col("session_id").isNotNull())
+        rows = rows.unionByName(side(cost, "ts", cost=F.col("cost_usd"), n_cost=F.lit(1)))
+    keys = ["session_id", "w_issue", "w_dev"] if bucket_seconds is None else [*KEY, "w_issue", "w_dev"]
+    return rows.groupBy(*keys).agg(
+        F.sum("wait_us").alias("wait_us"), F.min("w_start").alias("w_start"), F.max("w_end").alias("w_end"),
+        F.sum("n_wait").alias("n_wait"), F.sum("cost").cast("decimal(22,6)").alias("cost"), F.sum("n_cost").alias("n_cost"),
+    )
+
+
 def session_slices(spans: DataFrame, events: DataFrame, ceiling_seconds: int = 900,
                    bucket_seconds: int = 60) -> DataFrame:
     """One summary row per (session, slice) with any wait, cost or turn input
     (the incremental state; recomputing a slice from its raw rows is
     idempotent)."""
-    wait = spans.filter(F.col("span_kind").isin(*WAIT_KINDS) & F.col("session_id").isNotNull())
-    wait_side = _shape(
-        wait.withColumn("slice", slice_of(F.col("start_ts"), bucket_seconds)),
-        wait_us=C.duration_micros(F.col("start_ts"), F.col("end_ts")),
-        w_issue=F.col("issue_key"), w_dev=F.col("developer_id"), w_start=F.col("start_ts"), w_end=F.col("end_ts"),
-    )
-    cost = events.filter((F.col("event_name") == API_REQUEST) & F.col("session_id").isNotNull())
-    cost_side = _shape(cost.withColumn("slice", slice_of(F.col("ts"), bucket_seconds)), cost=F.col("cost_usd"))
+    groups = _fixed_groups(spans, events, bucket_seconds)
+    row_side = _shape(groups, **{c: F.col(c) for c in ("wait_us", "w_issue", "w_dev", "w_start", "w_end", "cost")})
     turn_side = _turn_slices(events, ceiling_seconds, bucket_seconds)
-    merged = wait_side.unionByName(cost_side).unionByName(turn_side)
+    merged = row_side.unionByName(turn_side)
     aggs = {"wait_us": F.sum, "w_issue": F.max, "w_dev": F.max, "w_start": F.min, "w_end": F.max, "cost": F.sum}
     # turn columns come from exactly one row per key (the turn side): max picks it
     return merged.groupBy(*KEY).agg(*[(aggs.get(name, F.max))(name).alias(name) for name, _ in SLICE_COLUMNS])
@@ -202,18 +226,14 @@ def session_rollups(spans: DataFrame, events: DataFrame | None, ceiling_seconds:
 
     Output: session_id, issue_key, developer_id, active_time_sec,
     wait_time_sec, token_cost_usd (decimal(38,6)), session_start, session_end.
-    Wait and cost rows go straight into the final (partially aggregated)
-    ``groupBy``; only turn events go through slices.
+    Wait and cost rows are first added up by hash aggregation
+    (``_fixed_groups``); only turn events go through slices.
     """
-    wait = spans.filter(F.col("span_kind").isin(*WAIT_KINDS) & F.col("session_id").isNotNull())
-    wait_part = _part(wait, wait_us=C.duration_micros(F.col("start_ts"), F.col("end_ts")),
-                      w_issue=F.col("issue_key"), w_dev=F.col("developer_id"), w_start=F.col("start_ts"),
-                      w_end=F.col("end_ts"), n_wait=F.lit(1))
+    groups = _fixed_groups(spans, events)
+    row_part = _part(groups, **{n: F.col(n) for n, _ in _FIXED})
     if events is None:  # spans only (e.g. trace-only telemetry)
-        return _combine(wait_part)
-    cost = events.filter((F.col("event_name") == API_REQUEST) & F.col("session_id").isNotNull())
-    cost_part = _part(cost, cost=F.col("cost_usd"), n_cost=F.lit(1))
+        return _combine(row_part)
     active = _active_per_session(_turn_slices(events, ceiling_seconds, bucket_seconds), ceiling_seconds)
     active_part = _part(active, active_us=F.col("active_us"), a_issue=F.col("a_issue"), a_dev=F.col("a_dev"),
                         n_active=F.lit(1))
-    return _combine(wait_part, cost_part, active_part)
+    return _combine(row_part, active_part)

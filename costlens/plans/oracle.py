@@ -43,7 +43,7 @@ def pseudonym(raw: str, salt: str = TEST_SALT) -> str:
 
 
 USER_KEYS = """'s' || cast(user_id as varchar) as session_id,
-  case when user_id % 7 = 0 then 'UNATTRIBUTED' else 'PROJ-' || cast(user_id % 20 as varchar) end as issue_key,
+  case when user_id % 7 = 0 then 'UNATTRIBUTED' else 'PROJ-' || cast(user_id % 97 as varchar) end as issue_key,
   'd' || cast(user_id % 12 as varchar) as developer_id"""
 
 ADAPTERS = {
@@ -56,10 +56,13 @@ ADAPTERS = {
     when 1 then 'git commit -m x' when 2 then 'NPM TEST' else 'ls' end end as full_command,
   (event_id % 2 = 0) as success
 from events""",
-    "spans": f"""select 'sp' || cast(event_id as varchar) as span_id, {USER_KEYS},
-  case event_type when 'error' then 'tool' when 'purchase' then 'llm_request' else 'interaction' end as span_kind,
+    "spans": """select 'sp' || cast(event_id as varchar) as span_id, case when user_id % 5 <> 0 then 's' || cast(user_id as varchar) end as session_id,
+  case when user_id % 7 = 0 then 'UNATTRIBUTED' else 'PROJ-' || cast(user_id % 97 as varchar) end as issue_key,
+  'd' || cast(user_id % 12 as varchar) as developer_id,
+  't' || cast(user_id as varchar) || '-' || cast(event_id % 3 as varchar) as trace_id,
+  case event_type when 'error' then 'tool' when 'purchase' then 'llm_request' when 'signup' then 'other' else 'interaction' end as span_kind,
   ts as start_ts, make_timestamp(epoch_us(ts) + cast(round(value * 1000) as bigint) * 1000) as end_ts
-from events where event_type in ('error', 'purchase', 'view') and user_id % 5 <> 0""",
+from events""",
     "spans_big": """select 'sp' || cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar) as span_id,
   'o' || cast(l_orderkey as varchar) as session_id, 'PROJ-' || cast(l_suppkey % 20 as varchar) as issue_key,
   'd' || cast(l_partkey % 12 as varchar) as developer_id, 't' || cast(l_suppkey % 3 as varchar) as trace_id,
@@ -86,7 +89,7 @@ from orders""",
   case when o_orderkey % 17 = 0 then 'passed' when o_orderstatus = 'F' then 'SUCCESS' when o_orderstatus = 'O' then 'failure' else 'pending' end as status
 from orders""",
     "guardrail_blocks": """select 'b' || cast(event_id as varchar) as block_id, 's' || cast(user_id as varchar) as session_id,
-  case when user_id % 7 = 0 then 'UNATTRIBUTED' else 'PROJ-' || cast(user_id % 20 as varchar) end as issue_key,
+  case when user_id % 7 = 0 then 'UNATTRIBUTED' else 'PROJ-' || cast(user_id % 97 as varchar) end as issue_key,
   case when event_id % 2 = 0 then 'budget_exceeded' else 'thrash_detected' end as reason, ts as blocked_at
 from events where event_type = 'error'""",
     "rate_config": "select 'default' as team, cast(75.00 as decimal(10,2)) as hourly_rate_usd",
@@ -214,6 +217,8 @@ from raw_events group by session_id, issue_key""", ["raw_events"]),
     "fanout_big": ("""select session_id, issue_key, count(distinct trace_id) - 1 as subagent_trace_count
 from spans_big where session_id is not null group by session_id, issue_key having count(distinct trace_id) > 1""",
                    ["spans_big"]),
+    "fanout": ("""select session_id, issue_key, count(distinct trace_id) - 1 as subagent_trace_count
+from spans where session_id is not null group by session_id, issue_key having count(distinct trace_id) > 1""", ["spans"]),
     "wait_big": ("""select session_id, min(start_ts) as session_start from spans_big
 where span_kind in ('tool', 'llm_request') and session_id is not null group by session_id""", ["spans_big"]),
     "intent_daily": (f"""select {day('ts')} as day, intent, count(*) as prompt_count,
@@ -239,10 +244,17 @@ def _closure(names: list[str]) -> list[str]:
     return out
 
 
-def with_ctes(needs: list[str], body: str) -> str:
+#: Time columns of the adapters that are landed as OTLP, in milliseconds.
+LANDED_TIMES = {"raw_events": ["ts"], "spans": ["start_ts", "end_ts"]}
+
+
+def with_ctes(needs: list[str], body: str, landed: bool = False) -> str:
+    """``landed``: over what the landed lines hold, times in milliseconds."""
     ctes = []
     for n in _closure(needs):
         sql = ADAPTERS[n] if n in ADAPTERS else DERIVED[n][0]
+        if landed and n in LANDED_TIMES:
+            sql = f"select * replace ({', '.join(f'{ms(c)} as {c}' for c in LANDED_TIMES[n])}) from (\n{sql}\n)"
         ctes.append(f"{n} as (\n{sql}\n)")
     if not ctes:
         return body
@@ -265,7 +277,7 @@ TICKET_COLS = """issue_key, summary, status, story_points, issue_type, session_c
 def build() -> dict[str, str]:
     Q: dict[str, tuple[list[str], str]] = {
         # sources
-        "s1_parse_spans": (["spans"], f"""select span_id, 'tr-' || session_id as trace_id, session_id, issue_key,
+        "s1_parse_spans": (["spans"], f"""select span_id, trace_id, session_id, issue_key,
   {pseudonym('developer_id')} as developer_id, 'claude_code.' || span_kind as span_name, span_kind,
   {ms('start_ts')} as start_ts, {ms('end_ts')} as end_ts,
   cast(epoch_us({ms('end_ts')}) // 1000 - epoch_us({ms('start_ts')}) // 1000 as double) as duration_ms,
@@ -274,6 +286,51 @@ from spans"""),
         "s2_parse_events": (["raw_events"], f"""select session_id, issue_key, {pseudonym('developer_id')} as developer_id,
   event_name, {ms('ts')} as ts, tool_name, full_command, success, cast(cost_usd as double) as cost_usd
 from raw_events"""),
+        "s1_raw_payload": (["spans"], f"""select span_id, cast(null as varchar) as parent_span_id, trace_id, session_id,
+  cast(null as varchar) as prompt_id, issue_key, {pseudonym('developer_id')} as developer_id,
+  'claude_code.' || span_kind as span_name, span_kind, cast(null as varchar) as tool_name,
+  {ms('start_ts')} as start_ts, {ms('end_ts')} as end_ts,
+  cast(epoch_us({ms('end_ts')}) // 1000 - epoch_us({ms('start_ts')}) // 1000 as double) as duration_ms,
+  cast(0 as double) as cost_usd, cast(0 as bigint) as input_tokens, cast(0 as bigint) as output_tokens,
+  '{{"attributes":[{{"key":"session.id","value":' ||
+    case when session_id is null then '{{}}' else '{{"stringValue":"' || session_id || '"}}' end ||
+    '}}],"endTimeUnixNano":"' || cast(epoch_us(end_ts) * 1000 as varchar) || '","name":"claude_code.' || span_kind ||
+    '","spanId":"' || span_id || '","startTimeUnixNano":"' || cast(epoch_us(start_ts) * 1000 as varchar) ||
+    '","traceId":"' || trace_id || '"}}' as raw_payload
+from spans"""),
+        "s2_raw_payload": (["raw_events"], f"""select
+  substr(sha256('{{"seq":' || cast(event_id as varchar) || ',"ri":0,"si":0,"pi":0}}'), 1, 32) as event_id,
+  session_id, cast(null as varchar) as prompt_id, issue_key, {pseudonym('developer_id')} as developer_id,
+  event_name, {ms('ts')} as ts, tool_name, full_command, cast(null as varchar) as decision, success,
+  cast(cost_usd as double) as cost_usd, cast(0 as bigint) as input_tokens, cast(0 as bigint) as output_tokens,
+  '{{"attributes":[{{"key":"event.name","value":{{"stringValue":"' || event_name || '"}}}}' ||
+    coalesce(',{{"key":"tool_name","value":{{"stringValue":"' || tool_name || '"}}}}', '') ||
+    coalesce(',{{"key":"tool_parameters","value":{{"stringValue":' ||
+      cast(to_json('{{"full_command":"' || full_command || '"}}') as varchar) || '}}}}', '') ||
+    ',{{"key":"success","value":{{"boolValue":"' || cast(success as varchar) || '"}}}}' ||
+    ',{{"key":"cost_usd","value":{{"doubleValue":"' || cast(cast(cost_usd as double) as varchar) || '"}}}}],' ||
+    '"timeUnixNano":"' || cast(epoch_us(ts) * 1000 as varchar) || '"}}' as raw_payload
+from raw_events"""),
+        "s13_stored_rates": ([], """select n_name as team,
+  cast(n_nationkey + 50 + case when n_nationkey % 2 = 1 then 10 else 0 end as double) as hourly_rate_usd from nation
+union all select 'default', 75.0"""),
+        "s14_stored_guardrails": (["guardrail_blocks"], f"""select block_id, session_id, issue_key, reason, {ms('blocked_at')} as blocked_at
+from guardrail_blocks"""),
+        "i6_reconcile": (["spans", "raw_events", "commit_rows", "issues"], """select issue_key,
+  case when issue_key in (select issue_key from issues) then 'fetched' else 'failed' end as state, true as advanced,
+  issue_key in (select issue_key from issues) as known
+from (select issue_key from spans union select issue_key from raw_events union select issue_key from commit_rows) s
+where issue_key is not null and issue_key <> 'UNATTRIBUTED'
+  and issue_key not in (select issue_key from issues where story_points < 25)"""),
+        "j13_stored_suggestions": (["session_rollups"], """select 'g-' || session_id as suggestion_id, session_id,
+  'PROJ-' || substr(developer_id, 2) as suggested_issue_key,
+  case when cast(substr(session_id, 2) as integer) % 2 = 1 then 'confirmed' else 'rejected' end as status,
+  'reviewer' as reviewed_by, timestamp '2024-02-01 00:00:00' as reviewed_at, cast(1 as bigint) as decided_seq
+from session_rollups where issue_key = 'UNATTRIBUTED'"""),
+        "p30_hook_sessions": (["prompts"], """select case when n % 3 = 0 then 'w' || cast(n as varchar) when n % 4 <> 3 then session_id end as session_id,
+  count(*) as prompts
+from (select *, cast(substr(session_id, 2) as bigint) as n from prompts) p
+where prompt is not null and length(prompt) > 0 group by 1"""),
         "s3_commit_records": (["commit_rows"], """select commit_sha, session_id, issue_key, developer_id, subject,
   files_changed, insertions, deletions, committed_at from commit_rows"""),
         "s4_prompt_signals": (["prompt_rows"], "select * from prompt_rows"),
@@ -449,4 +506,45 @@ from (select c_custkey as identity_id,
   from customer) g"""),
         "c11_pseudonymise": (["commit_log"], f"select commit_sha, {pseudonym('author_email')} as developer_id from commit_log"),
     }
-    return {name: with_ctes(needs, body) for name, (needs, body) in Q.items()}
+    # the same content through stored tables
+    for stored, plain in (("i9_cross_batch_spans", "k1_spans_insert_ignore"), ("k3_stored_commits", "k3_commit_upsert"),
+                          ("k7_stored_issues", "k7_issue_upsert"), ("k8_stored_ci", "k8_ci_upsert"),
+                          ("k5_stored_prompt_signals", "s4_prompt_signals"), ("k6_stored_tool_signals", "s5_tool_signals"),
+                          ("j13_stored_rollups", "c9_apply_reviews"), ("s12_landed_lines", "s2_parse_events")):
+        Q[stored] = Q[plain]
+    found = {name: with_ctes(needs, body) for name, (needs, body) in Q.items()}
+    found["s15_store_panels"] = with_ctes(*store_panels(Q), landed=True)
+    return found
+
+
+#: Panel → time, label and up to four values of its frame.
+PANEL_SHAPES = {
+    "p01_total_spend": (None, None, "total_spend"), "p02_tickets_tracked": (None, None, "tickets"),
+    "p03_sessions_ingested": (None, None, "sessions"), "p04_commits_correlated": (None, None, "commits"),
+    "p05_cost_leaderboard": (None, "concat_ws('|', issue_key, summary, status)", "session_count", "active_time_hours",
+                             "wait_time_hours", "c_total_usd"),
+    "p06_time_split": (None, "ticket", "active_time_hours", "wait_time_hours"),
+    "p07_testing_discipline": ("time", None, "testing_discipline_pct"),
+    "p08_prompt_thrash": ("time", None, "avg_thrash_ratio"),
+    "p10_subagent_fanout": ("time", None, "sessions_with_subagent_fanout"),
+    "p11_guardrail_blocks": ("time", "reason", "block_count"),
+    "p13_prompt_intent": ("time", "intent", "prompt_count"),
+    "p14_tool_category": ("time", "category", "tool_call_count"),
+    "p15_mentions_tests": (None, None, "mentions_tests_pct"),
+}
+
+
+def store_panels(queries: dict[str, tuple[list[str], str]]) -> tuple[list[str], str]:
+    """All panels under one another, over what the landed lines hold."""
+    needs, parts = [], []
+    for name, (time, label, *values) in PANEL_SHAPES.items():
+        wanted, body = queries[name]
+        if name == "p10_subagent_fanout":  # of the landed spans
+            wanted = ["fanout", "session_rollups"]
+            body = f"""select {day('w.session_start')} as time, count(*) as sessions_with_subagent_fanout
+from fanout f join session_rollups w on w.session_id = f.session_id where {between('w.session_start')} group by 1"""
+        needs += wanted
+        cells = [f"cast({v} as double) as v{i}" for i, v in enumerate([*values, *["null"] * (4 - len(values))])]
+        parts.append(f"select '{name[:3]}' as panel, cast({time or 'null'} as timestamp) as time, cast({label or 'null'} as varchar) as label, "
+                     f"{', '.join(cells)} from ({body}) x")
+    return list(dict.fromkeys(needs)), "\nunion all\n".join(parts)

@@ -12,19 +12,25 @@ an earlier and a later load; together the batches cover the whole table.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from costlens import schemas
 from costlens.config import UNATTRIBUTED, EngineConfig, configure_session
 from costlens.functions import columns as C
 from costlens.operators import context, economics, hygiene, merge, privacy, rollup, signals
-from costlens.plans import oracle, panels
+from costlens.plans import oracle, panels, reconcile, reviews, stored
 from costlens.plans.refresh import refresh_incremental, refresh_rollups
+from costlens.sinks.span_index import SpanIndex
+from costlens.sinks.tables import TableStore
 from costlens.sources import fixtures as fx
 from costlens.sources import otlp, records
+from costlens.streaming import ingest
 
 CFG = EngineConfig(salt=oracle.TEST_SALT)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +99,60 @@ def _late(df, col, split):
     return df.filter(F.col(col) >= F.lit(split).cast("timestamp"))
 
 
+# ---- stores ---------------------------------------------------------------------------
+
+def _store(spark) -> TableStore:
+    """A new store in the shared folder of the session (a local one in tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="costlens-")
+    return TableStore(spark, f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}", rollup_buckets=8)
+
+
+def _comes_late(number):
+    """Rows of the first load's time that arrive with the second load only."""
+    return F.pmod(number, F.lit(11)) == 3
+
+
+_loaded: dict[tuple[str, str], TableStore] = {}
+
+
+def _loaded_store(spark, sf) -> TableStore:
+    """The telemetry of all tables, landed and ingested in two loads: the second
+    brings the later half of the month, late rows of the first half and files
+    that were delivered before. Made once per application and folder."""
+    made = (spark.sparkContext.applicationId, sf)
+    if made not in _loaded:
+        store = _store(spark)
+        ev, sp = fx.raw_events(spark, sf), fx.spans(spark, sf)
+        span_no = F.substring("span_id", 3, 20).cast("long")
+        ev1 = (F.col("ts") < F.lit(EVENTS_SPLIT).cast("timestamp")) & ~_comes_late(F.col("event_id"))
+        sp1 = (F.col("start_ts") < F.lit(EVENTS_SPLIT).cast("timestamp")) & ~_comes_late(span_no)
+        logs = lambda rows: fx.events_as_log_lines(spark, sf, CFG, rows=rows)
+        traces = lambda rows: fx.spans_as_trace_lines(spark, sf, CFG, rows=rows)
+        flat = lambda df: signals.as_json_lines(df.withColumn("seq", F.monotonically_increasing_id()), "seq")
+        prompts, tools = signals.prompt_signals(fx.prompt_payloads(spark, sf)), signals.tool_signals(fx.command_payloads(spark, sf))
+        commits = signals.commit_records(fx.commit_log(spark, sf))
+        prompt_split = F.col("ts") < F.lit("2024-01-08").cast("timestamp")
+        loads = [
+            [("logs", logs(ev.filter(ev1))), ("traces", traces(sp.filter(sp1))),
+             ("prompt_signals", flat(prompts.filter(prompt_split))), ("tool_signals", flat(_early(tools, "ts", EVENTS_SPLIT))),
+             ("git_commits", flat(_early(commits, "committed_at", ORDERS_SPLIT))), ("issues", fx.issue_payloads(spark, sf)),
+             ("ci", flat(fx.ci_payloads(spark, sf)))],
+            [("logs", logs(ev.filter(~ev1 | (F.col("event_name") == "tool_result")))),
+             ("traces", traces(sp.filter(~sp1 | (F.col("span_kind") == "tool")))),
+             ("prompt_signals", flat(prompts.filter(~prompt_split))), ("tool_signals", flat(_late(tools, "ts", EVENTS_SPLIT))),
+             ("git_commits", flat(_late(commits, "committed_at", ORDERS_SPLIT))),
+             ("guardrail_blocks", flat(fx.guardrail_blocks(spark, sf)))],
+        ]
+        for n, load in enumerate(loads, 1):
+            lines = None
+            for kind, frame in load:
+                landed = fx.as_landed(frame, kind, n)
+                lines = landed if lines is None else lines.unionByName(landed)
+            ingest.ingest_batch(lines, store.allot("registry", n), store, CFG)
+        _loaded[made] = store
+    return _loaded[made]
+
+
 # ---- sources ------------------------------------------------------------------------
 
 def s1_parse_spans(spark, sf):
@@ -107,6 +167,43 @@ def s2_parse_events(spark, sf):
                        "success", "cost_usd")
 
 
+def s1_raw_payload(spark, sf):
+    """All 17 columns, the whole span's JSON among them."""
+    return otlp.parse_traces(fx.spans_as_trace_lines(spark, sf, CFG).withColumn("seq", F.substring("seq", 3, 20).cast("long")), CFG).good
+
+
+def s2_raw_payload(spark, sf):
+    """All 15 columns, the event's id and the whole record's JSON among them."""
+    return otlp.parse_logs(fx.events_as_log_lines(spark, sf, CFG), CFG).good
+
+
+def s12_landed_lines(spark, sf):
+    """Log lines written as files and read back by byte position."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="costlens-")
+    folder = f"{shared.rstrip('/')}/landing-{uuid.uuid4().hex}"
+    fx.events_as_log_lines(spark, sf, CFG).select("value").write.text(f"{folder}/logs/load1")
+    lines = ingest.landed_lines(spark, folder).select("value", F.struct("file", "mark", "offset").alias("seq"))
+    return otlp.parse_logs(lines, CFG).good.drop("event_id", "prompt_id", "decision", "input_tokens", "output_tokens", "raw_payload")
+
+
+def s13_stored_rates(spark, sf):
+    """Hourly rates by team, landed twice: odd teams' rates rise with the second load."""
+    store = _store(spark)
+    n = fx.table(spark, sf, "nation")
+    key = F.col("n_nationkey")
+    for load, rows, more in ((1, n, 0), (2, n.filter(key % 2 == 1), 10)):
+        text = F.to_json(F.struct(F.col("n_name").alias("team"), (key + 50 + more).cast("string").alias("hourly_rate_usd")))
+        rates = records.parse_rates(rows.select(text.alias("value"), key.alias("seq"))).good
+        batch = store.allot("rates", load)
+        store.upsert("rates", rates, ["team"], batch, lambda old, new: merge.upsert(old, new, ["team"]))
+        store.commit(batch)
+    return stored.rates(store)
+
+
+def s14_stored_guardrails(spark, sf):
+    return stored.guardrail_blocks(_loaded_store(spark, sf)).select("block_id", "session_id", "issue_key", "reason", "blocked_at")
+
+
 def s3_commit_records(spark, sf):
     return _commit_rows(spark, sf)
 
@@ -154,14 +251,19 @@ def c3_ticket_rollup(spark, sf):
 
 
 def c4_refresh_rollups(spark, sf):
-    """Load 1 (first half of the month) then an incremental load 2 through the
-    slice state: equals the full run."""
+    """Two loads through the stored slice state, the second with late rows of
+    the first one's time: equals the full run."""
+    store = _store(spark)
     sp, ev = fx.spans(spark, sf), fx.raw_events(spark, sf)
-    sp1, ev1 = _early(sp, "start_ts", EVENTS_SPLIT), _early(ev, "ts", EVENTS_SPLIT)
-    sp2, ev2 = _late(sp, "start_ts", EVENTS_SPLIT), _late(ev, "ts", EVENTS_SPLIT)
-    rollups1, slices1 = refresh_incremental(None, None, sp1, ev1, sp1, ev1, CFG)
-    rollups2, _ = refresh_incremental(rollups1, slices1, sp, ev, sp2, ev2, CFG)
-    return rollups2.drop("attribution_source")
+    second = {"start_ts": _comes_late(F.substring("span_id", 3, 20).cast("long")), "ts": _comes_late(F.col("event_id"))}
+    for n in (1, 2):
+        batch = store.allot("refresh", n)
+        for table, rows, ts, schema in (("raw_spans", sp, "start_ts", schemas.RAW_SPANS), ("raw_events", ev, "ts", schemas.RAW_EVENTS)):
+            with_load_2 = (F.col(ts) >= F.lit(EVENTS_SPLIT).cast("timestamp")) | second[ts]
+            store.write_batch(table, fx.as_raw(rows.filter(with_load_2 if n == 2 else ~with_load_2), schema), batch, day_of=ts)
+        ingest.refresh_touched(store, batch, CFG)
+        store.commit(batch)
+    return store.read_rollups().drop("attribution_source")
 
 
 def c4_refresh_textbook(spark, sf):
@@ -294,6 +396,25 @@ def k1_spans_insert_ignore(spark, sf):
     return t1.unionByName(merge.spans_to_append(t1, b2))
 
 
+def i9_cross_batch_spans(spark, sf):
+    """The same two loads through the stored span index."""
+    store = _store(spark)
+    big = fx.spans_big(spark, sf).withColumn("_seq", _span_order())
+    for n, rows in enumerate((_early(big, "start_ts", LINEITEM_SPLIT), _late(big, "start_ts", LINEITEM_SPLIT))):
+        batch = store.allot("spans", n)
+        SpanIndex(store, filter_words=1 << 12).append(rows, batch, day_of=None)
+        store.commit(batch)
+    return store.read("raw_spans").drop("batch")
+
+
+def k5_stored_prompt_signals(spark, sf):
+    return _loaded_store(spark, sf).read("prompt_signals").drop("signal_id", "batch")
+
+
+def k6_stored_tool_signals(spark, sf):
+    return _loaded_store(spark, sf).read("tool_signals").drop("signal_id", "batch")
+
+
 def k2_events_insert_ignore(spark, sf):
     """Replaying turn events changes nothing; api requests re-sent without a
     session are new rows every time."""
@@ -308,15 +429,32 @@ def k2_events_insert_ignore(spark, sf):
                       "success", "cost_usd")
 
 
-def k3_commit_upsert(spark, sf):
+def _commit_loads(spark, sf):
     """Load 1: older commits. Load 2: newer commits, then large commits re-sent amended."""
     rows = _commit_rows(spark, sf)
     b1 = _early(rows, "committed_at", ORDERS_SPLIT)
     newer = _late(rows, "committed_at", ORDERS_SPLIT).withColumn("_seq", F.struct(F.lit(0).alias("p"), F.col("_seq").alias("s")))
     amended = rows.filter(F.col("insertions") >= 25).withColumn("subject", F.lit("amended")) \
         .withColumn("_seq", F.struct(F.lit(1).alias("p"), F.col("_seq").alias("s")))
-    t1 = merge.upsert_commits(None, b1.withColumn("_seq", F.struct(F.lit(0).alias("p"), F.col("_seq").alias("s"))), 1)
-    return merge.upsert_commits(t1, newer.unionByName(amended), 2)
+    return b1.withColumn("_seq", F.struct(F.lit(0).alias("p"), F.col("_seq").alias("s"))), newer.unionByName(amended)
+
+
+def k3_commit_upsert(spark, sf):
+    b1, b2 = _commit_loads(spark, sf)
+    return merge.upsert_commits(merge.upsert_commits(None, b1, 1), b2, 2)
+
+
+def _upserted(spark, name, keys, loads, merged):
+    """A keyed table after its loads (batches 1, 2)."""
+    store = _store(spark)
+    for batch, rows in enumerate(loads, 1):
+        store.upsert(name, rows, keys, batch, lambda old, new, batch=batch: merged(old, new, batch))
+        store.commit(batch)
+    return store.read_keyed(name)
+
+
+def k3_stored_commits(spark, sf):
+    return _upserted(spark, "git_commits", ["commit_sha"], _commit_loads(spark, sf), merge.upsert_commits)
 
 
 def k4_register_developers(spark, sf):
@@ -337,6 +475,11 @@ def k7_issue_upsert(spark, sf):
     return merge.upsert_issues(t1, good2, 2)
 
 
+def k7_stored_issues(spark, sf):
+    loads = [records.parse_issue_payloads(fx.issue_payloads(spark, sf, done_from_size=size), CFG)[0] for size in (None, 45)]
+    return _upserted(spark, "issues", ["issue_key"], loads, merge.upsert_issues)
+
+
 def k8_ci_upsert(spark, sf):
     """Load 2 re-posts every pending run as success (same commit and check)."""
     good1, _ = _ci_rows(spark, sf)
@@ -345,6 +488,12 @@ def k8_ci_upsert(spark, sf):
     return merge.upsert_ci_runs(t1, again, 2)
 
 
+def k8_stored_ci(spark, sf):
+    good1, _ = _ci_rows(spark, sf)
+    again = good1.filter(F.col("status") == "pending").withColumn("status", F.lit("success"))
+    return _upserted(spark, "ci_runs", ["commit_sha", "check_name"], [good1, again], merge.upsert_ci_runs)
+
+
 def _suggestions(rollups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Suggestions for unattributed sessions (ticket from the developer number);
     odd session numbers are confirmed, even ones rejected."""
@@ -368,6 +517,95 @@ def c9_apply_reviews(spark, sf):
     return new_rollups.select("session_id", "issue_key", "developer_id", "attribution_source")
 
 
+def _reviewed_store(spark, sf) -> TableStore:
+    """Stored rollups, suggestions for the unattributed sessions and their
+    review; the decisions come twice, and a third time with older numbers that
+    say the contrary."""
+    store = _store(spark)
+    batch = store.allot("rollups", 0)
+    first = _rollups(spark, sf).withColumn("attribution_source", F.lit("explicit"))
+    store.write_keyed("session_rollups", first, ["session_id"], batch, list(range(store.rollup_buckets)))
+    store.commit(batch)
+    suggestions, decisions = _suggestions(store.read_rollups())
+    reviews.record(store, suggestions.drop("status"), store.allot("suggestions", 0))
+    decisions = decisions.withColumn("decided_at", F.lit("2024-02-01").cast("timestamp"))
+    contrary = F.when(F.col("status") == "confirmed", "rejected").otherwise("confirmed")
+    older = decisions.withColumn("status", contrary).withColumn("decided_seq", F.lit(0))
+    for n, rows in enumerate((decisions, decisions, older)):
+        reviews.decide(store, rows.withColumn("decided_seq", F.col("decided_seq").cast("long")), store.allot("review", n))
+    return store
+
+
+def j13_stored_rollups(spark, sf):
+    return _reviewed_store(spark, sf).read_rollups().select("session_id", "issue_key", "developer_id", "attribution_source")
+
+
+def j13_stored_suggestions(spark, sf):
+    found = _reviewed_store(spark, sf).read_keyed(reviews.SUGGESTIONS)
+    return found.select("suggestion_id", "session_id", "suggested_issue_key", "status", "reviewed_by", "reviewed_at", "decided_seq")
+
+
+def i6_reconcile(spark, sf):
+    """Work lists of two loads: the first list's fetch never runs, the second's
+    brings every ticket there is. Small tickets were known from the start."""
+    store = _store(spark)
+    for n, part in enumerate((_early, _late)):
+        batch = store.allot("telemetry", n)
+        for table, rows, ts, schema in (("raw_spans", fx.spans(spark, sf), "start_ts", schemas.RAW_SPANS),
+                                        ("raw_events", fx.raw_events(spark, sf), "ts", schemas.RAW_EVENTS)):
+            store.write_batch(table, fx.as_raw(part(rows, ts, EVENTS_SPLIT), schema), batch, day_of=ts)
+        commits = part(_commit_rows(spark, sf), "committed_at", ORDERS_SPLIT)
+        store.upsert("git_commits", commits, ["commit_sha"], batch, lambda old, new, batch=batch: merge.upsert_commits(old, new, batch))
+        if n == 0:
+            known, _ = records.parse_issue_payloads(fx.issue_payloads(spark, sf), CFG)
+            store.upsert("issues", known.filter(F.col("story_points") < 25), ["issue_key"], batch,
+                         lambda old, new, batch=batch: merge.upsert_issues(old, new, batch))
+        store.commit(batch)
+        todo = reconcile.open_work(store, store.allot("list", n))
+        bodies = fx.issue_payloads(spark, sf).withColumn("issue_key", F.get_json_object("value", "$.issue.key"))
+        fetched = bodies.join(todo, "issue_key", "left_semi").select("issue_key", "value") if n == 1 else None
+        reconcile.close_work(store, fetched, store.allot("fetch", n), CFG)
+    work = store.read_keyed(reconcile.WORK).select("issue_key", "state", F.lit(reconcile.watermark(store) > 0).alias("advanced"))
+    issues = store.read_keyed("issues").select("issue_key", F.lit(True).alias("known"))
+    return work.join(issues, "issue_key", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def s15_store_panels(spark, sf):
+    """The 13 dashboard frames of the stored tables, one under the other."""
+    none = F.lit(None)
+    shapes = {
+        "p01_total_spend": (none, none, "total_spend"), "p02_tickets_tracked": (none, none, "tickets"),
+        "p03_sessions_ingested": (none, none, "sessions"), "p04_commits_correlated": (none, none, "commits"),
+        "p05_cost_leaderboard": (none, F.concat_ws("|", "issue_key", "summary", "status"), "session_count", "active_time_hours",
+                                 "wait_time_hours", "c_total_usd"),
+        "p06_time_split": (none, F.col("ticket"), "active_time_hours", "wait_time_hours"),
+        "p07_testing_discipline": (F.col("time"), none, "testing_discipline_pct"),
+        "p08_prompt_thrash": (F.col("time"), none, "avg_thrash_ratio"),
+        "p10_subagent_fanout": (F.col("time"), none, "sessions_with_subagent_fanout"),
+        "p11_guardrail_blocks": (F.col("time"), F.col("reason"), "block_count"),
+        "p13_prompt_intent": (F.col("time"), F.col("intent"), "prompt_count"),
+        "p14_tool_category": (F.col("time"), F.col("category"), "tool_call_count"),
+        "p15_mentions_tests": (none, none, "mentions_tests_pct"),
+    }
+    united = None
+    for name, frame in stored.frames(_loaded_store(spark, sf), CFG, *RANGE).items():
+        time, label, *values = shapes[name]
+        numbers = [F.col(c) for c in values] + [none] * (4 - len(values))
+        rows = frame.select(F.lit(name[:3]).alias("panel"), time.cast("timestamp").alias("time"), label.cast("string").alias("label"),
+                            *[v.cast("double").alias(f"v{i}") for i, v in enumerate(numbers)])
+        united = rows if united is None else united.unionByName(rows)
+    return united
+
+
+def p30_hook_sessions(spark, sf):
+    """Sessions of hook payloads: the wrapper's where it says one, else the hook's own."""
+    number = F.substring("session_id", 2, 20).cast("long")
+    wrapper = F.when(number % 3 == 0, F.concat(F.lit("w"), number.cast("string"))).when(number % 3 == 1, F.lit(""))
+    own = F.when(number % 4 != 3, F.col("session_id"))
+    payloads = fx.prompt_payloads(spark, sf).withColumn("wrapper_session_id", wrapper).withColumn("session_id", own)
+    return signals.prompt_signals(payloads).groupBy("session_id").agg(F.count(F.lit(1)).alias("prompts"))
+
+
 def k9_pinned_upsert(spark, sf):
     """Load 1 → reviews pin some sessions → incremental load 2 keeps the pins."""
     sp, ev = fx.spans(spark, sf), fx.raw_events(spark, sf)
@@ -421,7 +659,8 @@ def c11_pseudonymise(spark, sf):
 _QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in [
-        s1_parse_spans, s2_parse_events, s3_commit_records, s4_prompt_signals, s5_tool_signals, s6_issue_payloads,
+        s1_parse_spans, s1_raw_payload, s2_parse_events, s2_raw_payload, s12_landed_lines, s13_stored_rates,
+        s14_stored_guardrails, s15_store_panels, s3_commit_records, s4_prompt_signals, s5_tool_signals, s6_issue_payloads,
         s7_ci_accepted, s7_ci_rejected, s10_quarantine,
         c2_session_rollups, c3_ticket_rollup, c4_refresh_rollups, c4_refresh_textbook, u1_touched_sessions, c8_missing_issue_keys,
         f8_unattributed_sessions, f10_missing_since,
@@ -431,7 +670,9 @@ _QUERIES: dict[str, Query] = {
         p06_time_split, p07_testing_discipline, p08_prompt_thrash, p10_subagent_fanout, p11_guardrail_blocks,
         p13_prompt_intent, p14_tool_category, p15_mentions_tests,
         k1_spans_insert_ignore, k2_events_insert_ignore, k3_commit_upsert, k4_register_developers, k7_issue_upsert,
-        k8_ci_upsert, c9_apply_reviews, k9_pinned_upsert,
+        k8_ci_upsert, c9_apply_reviews, k9_pinned_upsert, i9_cross_batch_spans, k3_stored_commits, k7_stored_issues,
+        k8_stored_ci, k5_stored_prompt_signals, k6_stored_tool_signals, j13_stored_rollups, j13_stored_suggestions,
+        i6_reconcile, p30_hook_sessions,
         j9_commits_by_ticket, j10_ci_by_ticket, j11_session_signal_mix, j12_single_candidate,
         p20_resolve_issue_key, p21_resolve_developer, c11_pseudonymise,
     ]

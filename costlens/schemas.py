@@ -7,58 +7,14 @@ from pyspark.sql import types as T
 S = T.StringType()
 
 # Every typed OTLP value slot is read as text: numbers and number-like
-# strings both arrive as their literal text; arrays keep their JSON.
+# strings both arrive as text; arrays keep their JSON. Spans and records
+# themselves are read from VARIANT by path (sources.otlp).
 ANY_VALUE = T.StructType([
     T.StructField("stringValue", S), T.StructField("intValue", S), T.StructField("doubleValue", S),
     T.StructField("boolValue", S), T.StructField("arrayValue", S),
 ])
 KEY_VALUE = T.StructType([T.StructField("key", S), T.StructField("value", ANY_VALUE)])
 ATTRIBUTES = T.ArrayType(KEY_VALUE)
-RESOURCE = T.StructType([T.StructField("attributes", ATTRIBUTES)])
-
-SPAN = T.StructType([
-    T.StructField("spanId", S), T.StructField("parentSpanId", S), T.StructField("traceId", S),
-    T.StructField("name", S), T.StructField("startTimeUnixNano", S), T.StructField("endTimeUnixNano", S),
-    T.StructField("attributes", ATTRIBUTES),
-])
-TRACE_LINE = T.StructType([
-    T.StructField("resourceSpans", T.ArrayType(T.StructType([
-        T.StructField("resource", RESOURCE),
-        T.StructField("scopeSpans", T.ArrayType(T.StructType([
-            T.StructField("spans", T.ArrayType(SPAN)),
-        ]))),
-    ]))),
-])
-
-LOG_RECORD = T.StructType([
-    T.StructField("timeUnixNano", S),
-    T.StructField("body", T.StructType([T.StructField("stringValue", S)])),
-    T.StructField("attributes", ATTRIBUTES),
-])
-LOG_LINE = T.StructType([
-    T.StructField("resourceLogs", T.ArrayType(T.StructType([
-        T.StructField("resource", RESOURCE),
-        T.StructField("scopeLogs", T.ArrayType(T.StructType([
-            T.StructField("logRecords", T.ArrayType(LOG_RECORD)),
-        ]))),
-    ]))),
-])
-
-# The same lines with every span / record as its own JSON text (raw_payload).
-TRACE_LINE_TEXT = T.StructType([
-    T.StructField("resourceSpans", T.ArrayType(T.StructType([
-        T.StructField("scopeSpans", T.ArrayType(T.StructType([
-            T.StructField("spans", T.ArrayType(S)),
-        ]))),
-    ]))),
-])
-LOG_LINE_TEXT = T.StructType([
-    T.StructField("resourceLogs", T.ArrayType(T.StructType([
-        T.StructField("scopeLogs", T.ArrayType(T.StructType([
-            T.StructField("logRecords", T.ArrayType(S)),
-        ]))),
-    ]))),
-])
 
 COMMIT_RECORD = T.StructType([
     T.StructField("commit_sha", S), T.StructField("session_id", S), T.StructField("issue_key", S),
@@ -112,6 +68,30 @@ ISSUES = T.StructType([
     T.StructField("story_points", T.DecimalType(38, 6)), T.StructField("issue_type", S),
     T.StructField("assignee_email", S),
 ])
+GUARDRAIL_BLOCK_RECORD = T.StructType([
+    T.StructField("block_id", S), T.StructField("session_id", S), T.StructField("issue_key", S),
+    T.StructField("reason", S), T.StructField("blocked_at", S),
+])
+RATE_RECORD = T.StructType([T.StructField("team", S), T.StructField("hourly_rate_usd", S)])
+GUARDRAIL_BLOCKS = T.StructType([
+    T.StructField("block_id", S), T.StructField("session_id", S), T.StructField("issue_key", S),
+    T.StructField("reason", S), T.StructField("blocked_at", TS),
+])
+GIT_COMMITS = T.StructType([
+    T.StructField("commit_sha", S), T.StructField("session_id", S), T.StructField("issue_key", S),
+    T.StructField("developer_id", S), T.StructField("subject", S), T.StructField("files_changed", T.IntegerType()),
+    T.StructField("insertions", T.IntegerType()), T.StructField("deletions", T.IntegerType()),
+    T.StructField("committed_at", TS), T.StructField("ingested_batch", T.LongType()),
+])
+PROMPT_SIGNALS = T.StructType([
+    T.StructField("session_id", S), T.StructField("issue_key", S), T.StructField("developer_id", S),
+    T.StructField("intent", S), T.StructField("mentions_tests", T.BooleanType()),
+    T.StructField("prompt_length", T.IntegerType()), T.StructField("ts", TS),
+])
+TOOL_SIGNALS = T.StructType([
+    T.StructField("session_id", S), T.StructField("issue_key", S), T.StructField("developer_id", S),
+    T.StructField("category", S), T.StructField("ts", TS),
+])
 RATE_CONFIG = T.StructType([T.StructField("team", S), T.StructField("hourly_rate_usd", T.DecimalType(10, 2))])
 QUARANTINE = T.StructType([
     T.StructField("source", S), T.StructField("reason", S), T.StructField("raw", S),

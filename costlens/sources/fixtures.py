@@ -35,7 +35,7 @@ def _user_keys(user):
     return (
         F.concat(F.lit("s"), user.cast("string")).alias("session_id"),
         F.when(user % 7 == 0, F.lit(UNATTRIBUTED))
-        .otherwise(F.concat(F.lit("PROJ-"), (user % 20).cast("string"))).alias("issue_key"),
+        .otherwise(F.concat(F.lit("PROJ-"), (user % 97).cast("string"))).alias("issue_key"),
         F.concat(F.lit("d"), (user % 12).cast("string")).alias("developer_id"),
     )
 
@@ -60,17 +60,20 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users divisible by 5 have no spans, which exercises the outer merge."""
-    e = table(spark, sf_dir, "events").filter(
-        F.col("event_type").isin("error", "purchase", "view") & (F.col("user_id") % 5 != 0)
-    )
-    et = F.col("event_type")
+    """Every event as a span. Users divisible by 5 run outside any session (a
+    null one), which exercises the outer merge; each user has three traces."""
+    e = table(spark, sf_dir, "events")
+    et, user = F.col("event_type"), F.col("user_id")
     start = _ts("ts")
     end = F.timestamp_micros(F.unix_micros(start) + F.round(F.col("value") * 1000).cast("bigint") * 1000)
+    session, *rest = _user_keys(user)
     return e.select(
         F.concat(F.lit("sp"), F.col("event_id").cast("string")).alias("span_id"),
-        *_user_keys(F.col("user_id")),
-        F.when(et == "error", "tool").when(et == "purchase", "llm_request").otherwise("interaction").alias("span_kind"),
+        F.when(user % 5 != 0, session).alias("session_id"),
+        *rest,
+        F.concat(F.lit("t"), user.cast("string"), F.lit("-"), (F.col("event_id") % 3).cast("string")).alias("trace_id"),
+        F.when(et == "error", "tool").when(et == "purchase", "llm_request").when(et == "signup", "other")
+        .otherwise("interaction").alias("span_kind"),
         start.alias("start_ts"),
         end.alias("end_ts"),
     )
@@ -233,6 +236,21 @@ def rate_config(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("default", Decimal("75.00"))], schemas.RATE_CONFIG)
 
 
+def as_raw(df: DataFrame, schema) -> DataFrame:
+    """Adapter rows in the stored shape of a table (missing columns null)."""
+    return df.select(*[
+        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
+    ])
+
+
+def as_landed(lines: DataFrame, kind: str, load: int = 1) -> DataFrame:
+    """Lines (value, seq) as if they stood in one file of the landing folder:
+    with the file, its mark and a place that follows ``seq``."""
+    place = F.regexp_replace(F.col("seq").cast("string"), "[^0-9]", "").cast("long")
+    return lines.select("value", F.lit(f"/landing/{kind}/load{load}.jsonl").alias("file"), F.lit(f"{kind}{load}").alias("mark"),
+                        place.alias("offset"))
+
+
 # ---- OTLP serialisation (round-trip fixtures) ---------------------------
 
 def _as_landed(rows: DataFrame) -> DataFrame:
@@ -249,11 +267,13 @@ def _kv(key: str, value, slot: str = "stringValue"):
     return F.struct(F.lit(key).alias("key"), F.struct(*slots).alias("value"))
 
 
-def events_as_log_lines(spark: SparkSession, sf_dir: str, cfg, bad_cost_over: float | None = None) -> DataFrame:
-    """The raw_events adapter written as OTLP log lines, one record per line.
-    With ``bad_cost_over`` larger API costs are landed as text like ``$45.5``."""
+def events_as_log_lines(spark: SparkSession, sf_dir: str, cfg, bad_cost_over: float | None = None,
+                        rows: DataFrame | None = None) -> DataFrame:
+    """The raw_events adapter (or some ``rows`` of it) written as OTLP log
+    lines, one record per line. With ``bad_cost_over`` larger API costs are
+    landed as text like ``$45.5``."""
     a = cfg.attributes
-    ev = raw_events(spark, sf_dir)
+    ev = rows if rows is not None else raw_events(spark, sf_dir)
     cost_text = F.col("cost_usd").cast("double").cast("string")
     if bad_cost_over is not None:
         bad = (F.col("event_name") == "api_request") & (F.col("cost_usd") > F.lit(bad_cost_over))
@@ -280,17 +300,17 @@ def events_as_log_lines(spark: SparkSession, sf_dir: str, cfg, bad_cost_over: fl
     return _as_landed(ev).select(F.to_json(doc).alias("value"), F.col("event_id").alias("seq"))
 
 
-def spans_as_trace_lines(spark: SparkSession, sf_dir: str, cfg) -> DataFrame:
-    """The spans adapter written as OTLP trace lines."""
+def spans_as_trace_lines(spark: SparkSession, sf_dir: str, cfg, rows: DataFrame | None = None) -> DataFrame:
+    """The spans adapter (or some ``rows`` of it) written as OTLP trace lines."""
     a = cfg.attributes
-    sp = spans(spark, sf_dir)
+    sp = rows if rows is not None else spans(spark, sf_dir)
     resource = F.struct(F.array(
         _kv(a.issue_key, F.col("issue_key")),
         _kv(a.developer_id, F.col("developer_id")),
     ).alias("attributes"))
     span = F.struct(
         F.col("span_id").alias("spanId"),
-        F.concat(F.lit("tr-"), F.col("session_id")).alias("traceId"),
+        F.col("trace_id").alias("traceId"),
         F.concat(F.lit("claude_code."), F.col("span_kind")).alias("name"),
         (F.unix_micros(F.col("start_ts")) * 1000).cast("string").alias("startTimeUnixNano"),
         (F.unix_micros(F.col("end_ts")) * 1000).cast("string").alias("endTimeUnixNano"),

@@ -1,9 +1,11 @@
 """OTLP JSON lines (traces and logs) to typed rows, with a quarantine frame.
 
-One distributed plan per file set: ``from_json`` with a corrupt-record
-column, three ``posexplode`` levels (resource, scope, span/record) and a
-projection of Column functions. Nothing is collected; every row carries
-an order key (line order, then positions inside the document) so that
+One distributed plan per file set: every line is parsed once, to a VARIANT;
+three ``posexplode`` levels (resource, scope, span/record) and a projection
+of Column functions take what they need from it. ``raw_payload`` is the whole
+span or record as JSON text, written from the same VARIANT (keys in order, no
+blanks; the last of a repeated key counts). Nothing is collected; every row
+carries an order key (line order, then positions inside the document) so that
 "first wins" means file order, as it does for a sequential loader.
 """
 
@@ -21,13 +23,37 @@ from costlens.functions import columns as C
 from costlens.functions import rules
 
 CORRUPT = "_corrupt_record"
+TRACE_LEVELS = ("resourceSpans", "scopeSpans", "spans")
+LOG_LEVELS = ("resourceLogs", "scopeLogs", "logRecords")
 
 
 class Parsed(NamedTuple):
+    """What a parser makes of its lines. ``rows`` holds all of it in one frame:
+    rows with their ``_reason`` (null: good), ``_raw`` text and identity. It can
+    be written once and taken apart again (``split``)."""
+
     good: DataFrame
     quarantine: DataFrame
-    identities: DataFrame  # (raw_developer_id, developer_email) seen on resources
-    base: DataFrame | None = None  # the parsed-lines frame all three derive from (worth persisting)
+    identities: DataFrame  # (seq, ri, raw_developer_id, developer_email) as seen
+    rows: DataFrame
+
+
+#: Reason of a row that is neither good nor bad: a resource without items.
+NOTHING = "nothing"
+_OWN = ["_reason", "_raw", "raw_developer_id", "developer_email"]
+
+
+def split(rows: DataFrame, source: str) -> Parsed:
+    """Good rows, quarantine and identities of a parser's ``rows``."""
+    good = rows.filter(F.col("_reason").isNull()).drop(*_OWN)
+    bad = rows.filter(F.col("_reason").isNotNull() & (F.col("_reason") != NOTHING)).select(
+        F.lit(source).alias("source"), F.col("_reason").alias("reason"), F.col("_raw").alias("raw"))
+    nested = isinstance(rows.schema["_seq"].dataType, T.StructType) and "ri" in rows.schema["_seq"].dataType.fieldNames()
+    who = rows if nested else rows.filter(F.col("_reason").isNull())
+    seq, ri = (F.col("_seq.seq"), F.col("_seq.ri")) if nested else (F.col("_seq"), F.lit(0))
+    names = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in _OWN[2:]]
+    ids = who.select(seq.alias("seq"), ri.alias("ri"), *names).filter(F.col("ri").isNotNull())
+    return Parsed(good, bad, ids, rows)
 
 
 def _with_seq(lines: DataFrame) -> DataFrame:
@@ -36,74 +62,93 @@ def _with_seq(lines: DataFrame) -> DataFrame:
     return lines.withColumn("seq", F.monotonically_increasing_id())
 
 
-def _split_lines(lines: DataFrame, schema: T.StructType, source: str, exploded: bool = False):
-    """Parse lines; unparsable non-blank lines go to quarantine, blank lines
-    are skipped.
+def _once(c: Column) -> Column:
+    """``c`` as a column that no later filter or projection computes again: the
+    optimizer copies an expression into what is built on it, but not through a
+    generator."""
+    return F.explode(F.array(c))
 
-    With ``exploded`` the caller explodes document arrays, which yields no
-    rows for blank or corrupt lines (their fields are null), so the good
-    side needs no line filter; a filter with ``from_json`` inside would
-    otherwise be pushed down to wherever the lines are produced."""
+
+def _documents(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """Flat records: (value, seq, doc) of every line that is not blank; ``doc``
+    has the raw line as its corrupt record where it cannot be parsed."""
     with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    parsed = _with_seq(lines).select(
-        "value", "seq", F.from_json("value", with_corrupt, {"columnNameOfCorruptRecord": CORRUPT}).alias("doc")
-    )
-    blank = F.col("value").isNull() | F.col("value").rlike(rules.BLANK_LINE_PATTERN)
-    bad = parsed.filter(F.col(f"doc.{CORRUPT}").isNotNull() & ~blank).select(
-        F.lit(source).alias("source"), F.lit("malformed_line").alias("reason"), F.col("value").alias("raw")
-    )
-    if exploded:
-        # Line-level rule: a line with a broken part yields nothing but its
-        # quarantine row, so a partly parsed document is blanked.
-        whole = F.when(F.col(f"doc.{CORRUPT}").isNull(), F.col("doc"))
-        return parsed.withColumn("doc", whole), bad, parsed
-    good = parsed.filter(F.col(f"doc.{CORRUPT}").isNull() & ~blank)
-    return good, bad, parsed
+    parsed = F.from_json("value", with_corrupt, {"columnNameOfCorruptRecord": CORRUPT})
+    return _with_seq(lines).filter(~_blank()).select("value", "seq", _once(parsed).alias("doc"))
 
 
-def _quarantine(df: DataFrame, source: str, checks: list[tuple[str, Column]], raw: str) -> DataFrame:
-    """First failing check names the reason; rows passing all checks are dropped."""
-    reason = None
-    for name, failed in checks:
-        reason = F.when(failed, F.lit(name)) if reason is None else reason.when(failed, F.lit(name))
-    return df.select(F.lit(source).alias("source"), reason.alias("reason"), F.col(raw).alias("raw")).filter(
-        F.col("reason").isNotNull()
-    )
+def _blank() -> Column:
+    return F.col("value").isNull() | F.col("value").rlike(rules.BLANK_LINE_PATTERN)
 
 
-def _paired(typed: Column, text: Column) -> Column:
-    """The typed elements of an array beside their text form."""
-    return F.zip_with(typed, text, lambda x, t: F.struct(x.alias("typed"), t.alias("text")))
+def _list(doc: Column, path: str) -> Column:
+    return F.try_variant_get(doc, path, "array<variant>")
 
 
-def _items(docs: DataFrame, texts: T.StructType, resources: str, scopes: str, items: str, cfg: EngineConfig):
-    """resource → scope → item explosion; attribute maps are built once per
-    resource and once per item, and every item keeps its own JSON text
-    (``raw``), whatever the typed schema lists. Returns (items, identities)."""
-    a = cfg.attributes
-    text = F.from_json("value", texts)
-    # An outer explode and a filter on what it made: an inner one would have the
-    # optimizer test the array's size, with its own parse, below the lines' source.
-    pairs = _paired(F.col(f"doc.{resources}"), text[resources])
-    res = docs.select("seq", F.posexplode_outer(pairs).alias("ri", "res")).filter(
-        F.col("res.typed").isNotNull()
+def _no_object(doc: str) -> str:
+    """Something else than a JSON object stands here (JSON's null passes)."""
+    return f"(not is_variant_null({doc}) and try_variant_get({doc}, '$', 'struct<>') is null)"
+
+
+def _no_list(doc: str, path: str) -> str:
+    """Something else than a list stands at ``path`` (nothing and null pass)."""
+    there = f"try_variant_get({doc}, '{path}', 'variant')"
+    return f"({there} is not null and not is_variant_null({there}) and try_variant_get({doc}, '{path}', 'array<variant>') is null)"
+
+
+def _any(doc: str, path: str, each: str, test: str) -> str:
+    return f"coalesce(exists(try_variant_get({doc}, '{path}', 'array<variant>'), {each} -> {test}), false)"
+
+
+def _misshapen(doc: str, resources: str, scopes: str, items: str) -> Column:
+    """A line with a broken part yields nothing but its quarantine row.
+
+    A cast to the bare shape shows at once that every list is there and holds
+    objects; only a line with something missing or odd is tested part by part."""
+    bad_item = f"({_no_object('i')} or {_no_list('i', '$.attributes')})"
+    bad_scope = f"({_no_object('s')} or {_no_list('s', f'$.{items}')} or {_any('s', f'$.{items}', 'i', bad_item)})"
+    bad_resource = (f"({_no_object('r')} or {_no_list('r', f'$.{scopes}')} or {_no_list('r', '$.resource.attributes')} "
+                    f"or {_any('r', f'$.{scopes}', 's', bad_scope)})")
+    exact = f"({_no_object(doc)} or {_no_list(doc, f'$.{resources}')} or {_any(doc, f'$.{resources}', 'r', bad_resource)})"
+    shape = (f"array<struct<resource:struct<attributes:array<struct<>>>,{scopes}:array<struct<{items}:"
+             "array<struct<attributes:array<struct<>>>>>>>>")
+    all_there = (
+        f"forall(try_variant_get({doc}, '$.{resources}', '{shape}'), r -> r.resource.attributes is not null "
+        f"and forall(r.{scopes}, s -> forall(s.{items}, i -> i.attributes is not null)))")
+    return F.when(F.expr(f"coalesce({all_there}, false)"), False).otherwise(F.col(doc).isNull() | F.expr(exact))
+
+
+_ATTRIBUTES = schemas.ATTRIBUTES.simpleString()
+
+
+def _items(lines: DataFrame, levels: tuple[str, str, str], cfg: EngineConfig) -> DataFrame:
+    """resource → scope → item explosion of every line that is not blank;
+    attribute maps are built once per resource and once per item.
+
+    Explosions are outer ones: a line that cannot be parsed stays as one row
+    with its text in ``line``, a resource without items as one without item,
+    which still tells its developer. (An inner one would also have the
+    optimizer test each list's size first, extracting it twice.)"""
+    resources, scopes, items = levels
+    docs = _with_seq(lines).filter(~_blank()).select("value", "seq", _once(F.try_parse_json("value")).alias("json"))
+    docs = docs.select("seq", "value", _once(F.when(~_misshapen("json", *levels), F.col("json"))).alias("doc"))
+    res = docs.select(
+        "seq", F.when(F.col("doc").isNull(), F.col("value")).alias("line"),
+        F.posexplode_outer(_list(F.col("doc"), f"$.{resources}")).alias("ri", "res"),
     ).select(
-        "seq", "ri", _paired(F.col(f"res.typed.{scopes}"), F.col(f"res.text.{scopes}")).alias("scopes"),
-        C.attr_map(F.col("res.typed.resource.attributes")).alias("rattrs"),
+        "seq", "line", F.when(~F.is_variant_null("res"), F.col("ri")).alias("ri"), _list(F.col("res"), f"$.{scopes}").alias("scopes"),
+        _once(C.attr_map(F.try_variant_get("res", "$.resource.attributes", _ATTRIBUTES))).alias("rattrs"),
     )
-    raw_dev = C.or_unattributed(F.col("rattrs")[a.developer_id])
-    identities = res.select(
-        "seq", "ri", raw_dev.alias("raw_developer_id"),
-        C.blank_to_null(F.col("rattrs")[a.developer_email]).alias("developer_email"),
-    )
-    out = (
-        res.select("seq", "ri", "rattrs", F.posexplode("scopes").alias("si", "scope"))
-        .select("seq", "ri", "rattrs", "si",
-                F.posexplode(_paired(F.col(f"scope.typed.{items}"), F.col(f"scope.text.{items}"))).alias("pi", "pair"))
-        .select("seq", "ri", "si", "pi", "rattrs", F.col("pair.typed").alias("item"), F.col("pair.text").alias("raw"),
-                C.attr_map(F.col("pair.typed.attributes")).alias("attrs"))
+    return (
+        res.select("seq", "line", "ri", "rattrs", F.posexplode_outer("scopes").alias("si", "scope"))
+        .select("seq", "line", "ri", "rattrs", "si", F.posexplode_outer(_list(F.col("scope"), f"$.{items}")).alias("pi", "item"))
+        .select("seq", "line", "ri", "si", "pi", "rattrs", "item",
+                _once(C.attr_map(F.try_variant_get("item", "$.attributes", _ATTRIBUTES))).alias("attrs"))
     )
-    return out, identities
+
+
+def _field(path: str) -> Column:
+    return F.try_variant_get("item", f"$.{path}", "string")
 
 
 def _resource_columns(cfg: EngineConfig) -> list[Column]:
@@ -125,20 +170,25 @@ def _reason(checks: list[tuple[str, Column]]) -> Column:
     return reason
 
 
-def _split_rows(rows: DataFrame, source: str, malformed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    good = rows.filter(F.col("_reason").isNull()).drop("_reason")
-    bad = rows.filter(F.col("_reason").isNotNull()).select(
-        F.lit(source).alias("source"), F.col("_reason").alias("reason"), F.col("raw_payload").alias("raw")
-    )
-    return good, bad.unionByName(malformed)
+def _line_reason(checks: list[tuple[str, Column]]) -> list[Column]:
+    """``_reason``, ``_raw`` and the resource's identity."""
+    reason = (F.when(F.col("line").isNotNull(), F.lit("malformed_line")).when(F.col("item").isNull(), F.lit(NOTHING))
+              .otherwise(_reason(checks)))
+    raw = F.when(reason.isNotNull(), F.coalesce(F.col("line"), F.to_json("item")))
+    return [reason.alias("_reason"), raw.alias("_raw")]
+
+
+def _who(cfg: EngineConfig) -> list[Column]:
+    a = cfg.attributes
+    return [C.or_unattributed(F.col("rattrs")[a.developer_id]).alias("raw_developer_id"),
+            C.blank_to_null(F.col("rattrs")[a.developer_email]).alias("developer_email")]
 
 
 def parse_traces(lines: DataFrame, cfg: EngineConfig) -> Parsed:
     """Trace lines → ``raw_spans`` rows (+ ``_seq`` order key)."""
     a = cfg.attributes
-    docs, malformed, base = _split_lines(lines, schemas.TRACE_LINE, "traces", exploded=True)
-    spans, identities = _items(docs, schemas.TRACE_LINE_TEXT, "resourceSpans", "scopeSpans", "spans", cfg)
-    sp = lambda f: F.col(f"item.{f}")
+    spans = _items(lines, TRACE_LEVELS, cfg)
+    sp = _field
     cost, tin, tout = (F.col("attrs")[k] for k in (a.cost_usd, a.input_tokens, a.output_tokens))
     start, end = C.nanos_to_timestamp(sp("startTimeUnixNano")), C.nanos_to_timestamp(sp("endTimeUnixNano"))
     checks = [
@@ -165,32 +215,31 @@ def parse_traces(lines: DataFrame, cfg: EngineConfig) -> Parsed:
         C.number_or_zero(cost, "decimal(12,6)").alias("cost_usd"),
         C.number_or_zero(tin, "bigint").alias("input_tokens"),
         C.number_or_zero(tout, "bigint").alias("output_tokens"),
-        F.col("raw").alias("raw_payload"),
+        F.to_json("item").alias("raw_payload"),
         F.struct("seq", "ri", "si", "pi").alias("_seq"),
-        _reason(checks).alias("_reason"),
+        *_line_reason(checks),
+        *_who(cfg),
     )
-    good, bad = _split_rows(rows, "traces", malformed)
-    return Parsed(good, bad, identities, base)
+    return split(rows, "traces")
 
 
 def parse_logs(lines: DataFrame, cfg: EngineConfig) -> Parsed:
     """Log lines → ``raw_events`` rows (+ ``_seq`` order key)."""
     a = cfg.attributes
-    docs, malformed, base = _split_lines(lines, schemas.LOG_LINE, "logs", exploded=True)
-    recs, identities = _items(docs, schemas.LOG_LINE_TEXT, "resourceLogs", "scopeLogs", "logRecords", cfg)
+    recs = _items(lines, LOG_LEVELS, cfg)
     cost, tin, tout = (F.col("attrs")[k] for k in (a.cost_usd, a.input_tokens, a.output_tokens))
-    ts = C.nanos_to_timestamp(F.col("item.timeUnixNano"))
+    ts = C.nanos_to_timestamp(_field("timeUnixNano"))
     checks = [
-        ("bad_time", C.nanos_is_bad(F.col("item.timeUnixNano"))),
+        ("bad_time", C.nanos_is_bad(_field("timeUnixNano"))),
         ("missing_time", ts.isNull()),
         ("bad_cost", C.number_is_bad(cost, "decimal(12,6)")),
         ("bad_tokens", C.number_is_bad(tin, "bigint") | C.number_is_bad(tout, "bigint")),
     ]
     order = F.struct("seq", "ri", "si", "pi")
     rows = recs.select(
-        F.sha2(F.to_json(order), 256).substr(1, 32).alias("event_id"),
+        C.surrogate_id(order).alias("event_id"),
         *_resource_columns(cfg),
-        C.first_present(F.col("attrs")[a.event_name], F.col("item.body.stringValue"), F.lit("unknown")).alias("event_name"),
+        C.first_present(F.col("attrs")[a.event_name], _field("body.stringValue"), F.lit("unknown")).alias("event_name"),
         ts.alias("ts"),
         C.blank_to_null(F.col("attrs")[a.tool_name]).alias("tool_name"),
         C.full_command(F.col("attrs")[a.tool_parameters]).alias("full_command"),
@@ -199,9 +248,9 @@ def parse_logs(lines: DataFrame, cfg: EngineConfig) -> Parsed:
         C.number_or_zero(cost, "decimal(12,6)").alias("cost_usd"),
         C.number_or_zero(tin, "bigint").alias("input_tokens"),
         C.number_or_zero(tout, "bigint").alias("output_tokens"),
-        F.col("raw").alias("raw_payload"),
+        F.to_json("item").alias("raw_payload"),
         order.alias("_seq"),
-        _reason(checks).alias("_reason"),
+        *_line_reason(checks),
+        *_who(cfg),
     )
-    good, bad = _split_rows(rows, "logs", malformed)
-    return Parsed(good, bad, identities, base)
+    return split(rows, "logs")
