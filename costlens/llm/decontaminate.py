@@ -16,7 +16,8 @@ of text, measured before; a benchmark beyond one block is processed block by
 block against all documents and the blocks' hits are merged per document.
 
 Defined results: null, empty and word-less texts have no words and no hits;
-items without words never occur; rows that repeat an item_id are one item;
+items without words never occur; rows that repeat an item_id are one item (a
+null item_id is named by the empty string);
 repeated documents are judged one by one; an empty benchmark hits nothing.
 """
 
@@ -152,7 +153,8 @@ def _join_task(index):
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     """The benchmark cut by item into blocks of about ``block_bytes``."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("text IS NOT NULL")
+    name = F.coalesce(F.col("item_id").cast("string"), F.lit(""))
+    items = benchmark.select(name.alias("item"), "text").filter("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     n = max(1, -(-total // block_bytes))
     return [items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == b) for b in range(n)]

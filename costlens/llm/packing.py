@@ -27,12 +27,16 @@ nothing.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,63 +48,130 @@ GROUP_ROWS = 200_000
 #: Distinct words a Python worker remembers the ids of, from task to task.
 REMEMBERED_WORDS = 1_000_000
 
+#: Bytes of text that are tokenised together; longer texts are cut.
+LONG = 1 << 22
+_SEPARATOR = re.compile(r"[ \n]")
+#: ASCII punctuation between a letter (but U+0130, whose lower case ends in a
+#: mark that would join the run) and a part's end.
+_LAST_PUNCTUATION = r"([^\PL\x{0130}])([[:punct:]]+)( |$)"
+
 PLACE = "length long, rank_from long, rank_to long, sequence_from long, per_sequence long, offset long"
 
 
+def _byte_characters() -> dict[int, str]:
+    """The characters by which byte-level models write bytes: printable Latin-1
+    stands for itself, the rest for the characters from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+_BYTES = _byte_characters()
+
+
+def byte_level(word: str) -> str:
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+
+
 class WordEncoder:
-    """Token ids of a text as little-endian 32-bit bytes.
+    """Token ids of whole columns of texts.
 
     The tokenizer's pattern never joins characters across a blank or a line
     feed, so the ids of a text are those of its blank-separated parts in
-    order; parts repeat, and their ids are remembered up to a bound."""
+    order. Arrow splits a batch and numbers its distinct parts; only those are
+    looked up, and new ones tokenised. Their ids stand one after another in
+    ``flat``, from which one gather makes the ids of all texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, dtype="<u4").tobytes() for m in ",."}
-
-    def learn(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self.known]
-        if len(self.known) + 2 * len(new) > REMEMBERED_WORDS:
-            self.known = {"": b""}
-            new = list(parts)
-        plain = {p: self._plain(p) for p in new}
-        some = list({c for c, _ in plain.values()} - self.known.keys())
-        for at in range(0, len(some), 20_000):
-            batch = some[at : at + 20_000]
-            for part, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
-                self.known[part] = np.array(e.ids, dtype="<u4").tobytes()
-        for part, (core, mark) in plain.items():
-            self.known[part] = self.known[core] + mark
-
-    def _plain(self, part: str) -> tuple[str, bytes]:
-        """A part that stands for ``part``, and the ids that follow: texts are
-        lower-cased, and a full stop or comma after a letter is a token of its
-        own."""
-        mark = b""
-        if len(part) > 1 and part[-1] in self.marks and part[-2].isalpha():
-            part, mark = part[:-1], self.marks[part[-1]]
-        if "A" <= part[0] <= "Z":
-            part = part[0].lower() + part[1:]
-        return part, mark
-
-    def encode(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        if len(parts) <= REMEMBERED_WORDS // 2:
-            return self.ids(parts)
-        step = REMEMBERED_WORDS // 2
-        return b"".join(self.ids(parts[i : i + step]) for i in range(0, len(parts), step))
-
-    def ids(self, parts: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.known.__getitem__, parts))
-        except KeyError:
-            self.learn(set(parts))
-            return b"".join(map(self.known.__getitem__, parts))
+        # A lower-case word of letters alone can go to the model at once where the
+        # tokenizer does nothing but hand its bytes on.
+        probe = ["hello", "überfällig", "naïveté"]
+        self.by_model = all(
+            [t.id for t in self.tokenizer.model.tokenize(byte_level(w))] == self.tokenizer.encode(w, add_special_tokens=False).ids
+            for w in probe
+        )
+        self.forget()
+
+    def forget(self) -> None:
+        """Slot 0 is the end id, slot 1 the empty part."""
+        self.slot_of: dict[str, int] = {"": 1}
+        self.starts, self.lengths = np.array([0, 1], np.int64), np.array([1, 0], np.int64)
+        self.flat = np.zeros(1, np.uint32)
+
+    def _add(self, parts: list[str], ids: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.slot_of.update(zip(parts, range(len(self.starts), len(self.starts) + len(parts))))
+        ends = len(self.flat) + np.cumsum(sizes)
+        self.starts = np.concatenate([self.starts, ends - sizes])
+        self.lengths = np.concatenate([self.lengths, sizes])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+
+    def learn(self, new: list[str]) -> None:
+        words = [p for p in new if self.by_model and p.isalpha() and p == p.lower() and is_normalized("NFC", p)]
+        tokenize = self.tokenizer.model.tokenize
+        self._add(words, [[t.id for t in tokenize(byte_level(w))] for w in words])
+        others = [p for p in new if p not in self.slot_of]
+        for at in range(0, len(others), 20_000):
+            batch = others[at : at + 20_000]
+            self._add(batch, [e.ids for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)])
+
+    def _slots(self, parts: list[str]) -> np.ndarray:
+        new = [p for p in parts if p not in self.slot_of]
+        if new:
+            if len(self.slot_of) + len(new) > REMEMBERED_WORDS:
+                self.forget()
+                new = [p for p in parts if p]
+            self.learn(new)
+        return np.fromiter(map(self.slot_of.__getitem__, parts), np.int64, len(parts))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, an end id after each, and where each one ends."""
+        plain = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        # What the tokenizer does anyway, done first so that fewer parts differ:
+        # it lower-cases (but finds special tokens before), and the punctuation
+        # that ends a part is a run of its own.
+        eased = pc.replace_substring_regex(pc.ascii_lower(plain), _LAST_PUNCTUATION, r"\1 \2\3")
+        plain = pc.if_else(pc.match_substring(plain, "<|"), plain, eased)
+        lists = pc.split_pattern(plain, " ")
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        named = lists.flatten().dictionary_encode()
+        slots = self._slots(named.dictionary.to_pylist())[named.indices.to_numpy()]
+        slots = np.insert(slots, bounds[1:] - bounds[0], 0)
+        sizes = self.lengths[slots]
+        ends = np.cumsum(sizes)
+        shift = np.repeat(self.starts[slots] - (ends - sizes), sizes)
+        ids = self.flat[shift + np.arange(len(shift))]
+        return ids, ends[bounds[1:] - bounds[0] + np.arange(len(texts))]
+
+    def texts(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``encode`` over runs of rows of about LONG bytes; a longer text goes
+        alone, in pieces cut at blanks."""
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = 0
+        while at < len(column):
+            upto = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), LONG)) + at)
+            if sizes[at] > LONG:
+                upto = at + 1
+                parts = [self.encode(pa.array([p]))[0][:-1] for p in _cut(column[at].as_py())]
+                ids = np.concatenate([*parts, np.zeros(1, np.uint32)])
+                yield ids, np.array([len(ids)])
+            else:
+                yield self.encode(column.slice(at, upto - at))
+            at = upto
+
+
+def _cut(text: str) -> Iterator[str]:
+    """Pieces of about LONG characters that end before a blank or line feed."""
+    at = 0
+    while at < len(text):
+        end = _SEPARATOR.search(text, at + LONG)
+        end = end.start() if end else len(text)
+        yield text[at:end]
+        at = end
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -115,39 +186,33 @@ def encoder_for(path: str) -> WordEncoder:
 def _tokenise(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path)
-        end = np.zeros(1, dtype="<u4").tobytes()
-        step = 4 * capacity
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            # Learn the batch's new words together, long texts on their own.
-            split = [t.replace("\n", " ").split(" ") if t and len(t) < 100_000 else None for t in texts]
-            some = set().union(*[p for p in split if p]) - encoder.known.keys()
-            if some and len(some) < REMEMBERED_WORDS // 2:
-                encoder.learn(some)
-            owner, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(texts):
-                raw = (encoder.ids(split[i]) if split[i] else encoder.encode(text or "")) + end
-                for k, at in enumerate(range(0, len(raw), step)):
-                    cut = raw[at : at + step]
-                    owner.append(i)
-                    piece.append(k)
-                    start.append(at // 4)
-                    length.append(len(cut) // 4)
-                    crc.append(zlib.crc32(cut))
-                    if with_ids:
-                        ids.append(np.frombuffer(cut, dtype="<u4").astype(np.int32))
-            columns = [
-                batch.column(0).take(pa.array(owner, pa.int64())),
-                pa.array(piece, pa.int32()),
-                pa.array(start, pa.int64()),
-                pa.array(length, pa.int64()),
-                pa.array(crc, pa.int64()),
-            ]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            if with_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            row = 0
+            for ids, ends in encoder.texts(batch.column(1)):
+                ids = np.ascontiguousarray(ids, dtype="<u4")
+                sizes = np.diff(ends, prepend=0)
+                n_pieces = -(-sizes // capacity)
+                owner = np.repeat(np.arange(len(ends)), n_pieces)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+                start = piece * capacity
+                length = np.minimum(capacity, sizes[owner] - start)
+                first = (ends - sizes)[owner] + start
+                raw = memoryview(ids).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(first.tolist(), length.tolist())]
+                columns = [
+                    batch.column(0).take(pa.array(owner + row, pa.int64())),
+                    pa.array(piece, pa.int32()),
+                    pa.array(start, pa.int64()),
+                    pa.array(length, pa.int64()),
+                    pa.array(crc, pa.int64()),
+                ]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                if with_ids:  # the pieces of a run of texts are all its ids in order
+                    offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
+                row += len(ends)
 
     return run
 

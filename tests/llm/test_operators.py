@@ -128,7 +128,7 @@ def brute_hits(text, windows):
 def test_decontamination(spark, block_bytes):
     item, short = prose(7, 30), "Kurz, nur drei"
     rows = {1: "pre " + item.upper() + " post", 2: prose(8, 40) + " kurz nur-drei " + prose(9, 300), 3: item[:40], 4: None, 5: "", 6: prose(10, 50), 7: " ".join(ALNUM.findall(item)[3:16]), 8: item + "\n" + item}
-    bench = spark.createDataFrame([(1, item), (10, short), (2, item), (3, None), (4, "!!")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, item), (10, short), (2, item), (3, None), (4, "!!"), (None, "absent words")], "item_id long, text string")
     windows = defaultdict(set)
     for i, t in ((1, item), (10, short), (2, item)):
         w = ALNUM.findall(t.translate(LOWER))
@@ -159,7 +159,6 @@ def test_packing_places_every_piece(spark, texts):
     docs = frame(spark, rows).union(frame(spark, {50: rows[50]}))
     packed = packing.pack(docs, default_tokenizer(), with_ids=True).cache()
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
     want = Counter()
     for i in [*rows, 50]:
         ids = t.encode(rows[i] or "", add_special_tokens=False).ids + [0]
@@ -182,6 +181,26 @@ def test_packing_places_every_piece(spark, texts):
     assert packing.pack(empty(spark), default_tokenizer()).count() == 0
 
 
+def test_packing_cuts_long_texts_at_blanks(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    encoder, t = packing.WordEncoder(default_tokenizer()), Tokenizer.from_file(default_tokenizer())
+    rows = [prose(21, 700), "", None, "b" * 90 + " c.", prose(22, 40) + "\n" * 60, "x y"]
+    want = [t.encode(r or "", add_special_tokens=False).ids + [0] for r in rows]
+
+    def got():
+        found = []
+        for ids, ends in encoder.texts(pa.array(rows)):
+            found += [x.tolist() for x in np.split(ids, ends[:-1])]
+        return found
+
+    assert got() == want
+    monkeypatch.setattr(packing, "LONG", 50)
+    monkeypatch.setattr(packing, "REMEMBERED_WORDS", 30)
+    assert got() == want
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_plan_is_near_the_least(seed):
     rng = np.random.default_rng(seed)
