@@ -9,9 +9,10 @@ and a pair's overlap is the sum of its fragments' partial overlaps.
 *Which pairs are counted.* Linked sets of sizes a and b differ in at most
 ``(a + b) * (100 - percent) / (100 + percent)`` n-grams. Cut into more
 fragments than that, they agree on a whole fragment. So sizes fall into
-classes whose bounds grow by 100 / percent, each class has a fragment count
-above its largest possible difference, and documents meet only if they hold
-an identical segment of the same class and fragment. That loses no link and,
+classes, each class has a fragment count above its largest possible
+difference, and documents meet only if they hold an identical segment of the
+same class and fragment; a set is in its own class and, where a linked set can
+be larger than its class, in the next one too. That loses no link and,
 unlike a shared n-gram, a passage that many documents quote does not bring
 them together. ``spare`` fragments allow documents to leave out their empty
 segments; the few with more empty ones than that include them.
@@ -42,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from costlens.llm import components, hashing
@@ -52,14 +53,24 @@ from costlens.llm.common import materialise, small_batches
 COUNT_FRAGMENTS = 4
 #: Distinct sets that one task remembers in order to send each set's segments once.
 REMEMBERED = 1 << 18
+#: Steps of 100 / percent by which size classes grow.
+CLASS_STEPS = 3
+#: Words of 64 bits of the table that rules out rows before they are shuffled.
+BLOOM_WORDS = 1 << 18
+
+
+def next_bound(bound: int, percent: int) -> int:
+    """Classes grow by three steps of 100 / percent: members of linked pairs are
+    in one class or in neighbouring ones, and two sets in three can only be
+    linked to members of their own class or a lower one."""
+    return max(bound + 1, bound * 100**CLASS_STEPS // percent**CLASS_STEPS)
 
 
 def size_classes(percent: int, limit: int) -> np.ndarray:
-    """Upper bounds of the classes up to ``limit``: members of linked pairs
-    are in one class or in neighbouring ones."""
+    """Upper bounds of the classes up to ``limit``."""
     bounds = [1]
     while bounds[-1] < limit:
-        bounds.append(max(bounds[-1] + 1, bounds[-1] * 100 // percent))
+        bounds.append(next_bound(bounds[-1], percent))
     return np.array(bounds, dtype=np.int64)
 
 
@@ -86,8 +97,10 @@ def segment_marks(grams: np.ndarray, percent: int) -> np.ndarray:
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(hashing.mix(grams ^ np.uint64(0x5851F42D4C957F2D)), out=sums[1:])
     found = []
-    for host in (own, own + 1):
-        high = int(bounds[host]) if host < len(bounds) else max(int(bounds[-1]) + 1, int(bounds[-1]) * 100 // percent)
+    # A linked set of the next class is larger than this class's bound.
+    hosts = (own, own + 1) if n * 100 // percent > bounds[own] else (own,)
+    for host in hosts:
+        high = int(bounds[host]) if host < len(bounds) else next_bound(int(bounds[-1]), percent)
         difference = most_different(high, percent)
         if difference == 0:
             continue  # only equal sets link
@@ -117,7 +130,7 @@ def _describe(words: int, percent: int):
         seen: set[bytes] = set()
         for batch in batches:
             sizes, keys, lists = [], [], []
-            for text in hashing.texts(batch.column(1)):
+            for text in hashing.texts(batch.column(2)):
                 grams = grams_of(text, words)
                 key = set_key(grams)
                 sizes.append(len(grams))
@@ -132,7 +145,8 @@ def _describe(words: int, percent: int):
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             marks = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists) if lists else [], type=pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), marks], ["doc_id", "n", "key", "marks"]
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), marks],
+                ["doc_id", "row", "n", "key", "marks"],
             )
 
     return run
@@ -147,7 +161,7 @@ def _segments(words: int):
             for key, text in zip(batch.column(0).to_pylist(), hashing.texts(batch.column(1))):
                 grams = grams_of(text, words)
                 if set_key(grams) != key:
-                    continue  # another text of the same doc_id
+                    continue  # another row of the same hash
                 cuts = np.searchsorted(fragment_of(grams, COUNT_FRAGMENTS), np.arange(COUNT_FRAGMENTS + 1, dtype=np.uint64))
                 for f in range(COUNT_FRAGMENTS):
                     keys.append(key)
@@ -164,16 +178,33 @@ def _segments(words: int):
     return run
 
 
+def row_hash() -> Column:
+    """A row by its doc_id and text, also where either is null or repeated."""
+    return F.xxhash64("doc_id", "text")
+
+
 def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per row: doc_id, size and key of its set, and the marks of its segments
-    (empty where the same task has sent the same set before)."""
+    """Per row: doc_id, the row's hash, size and key of its set, and the marks
+    of its segments (empty where the same task has sent the same set before)."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        _describe(words, percent), f"doc_id {kind}, n long, key binary, marks array<long>"
+    return docs.select("doc_id", row_hash().alias("row"), "text").mapInArrow(
+        _describe(words, percent), f"doc_id {kind}, row long, n long, key binary, marks array<long>"
     )
 
 
+def perhaps_among(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """Adds ``perhaps``: may the row (column row, a hash) be among ``few``? A
+    table of one bit a hash, of BLOOM_WORDS words at most, is joined by
+    broadcast. It is never wrong about a row that is among them, and where it
+    is crowded only says yes more often."""
+    word = F.pmod(F.shiftrightunsigned("row", 6), F.lit(BLOOM_WORDS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("row").bitwiseAND(F.lit(63)).cast("int"))
+    table = few.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    marked = rows.withColumn("word", word).join(F.broadcast(table), "word", "left")
+    return marked.withColumn("perhaps", F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))).drop("word", "bits")
+
+
 def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int, few: bool) -> DataFrame:
     """Linked pairs of ``pairs`` (columns a, b: set keys): partial overlaps of
     each fragment, summed per pair. Where ``few`` sets are in pairs, only their
@@ -206,10 +237,11 @@ def link_sets(docs: DataFrame, described: DataFrame, words: int, percent: int, m
     met = materialise(ids.join(sets, "id").select("mark", "key", "n"), "jaccard-met")
 
     members = described.filter("n > 0").join(met.select("key").distinct(), "key", "left_semi")
-    chosen = members.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("key", "text")
+    chosen = materialise(members.groupBy("key").agg(F.min("row").alias("row")), "jaccard-chosen")
+    rows = perhaps_among(docs.select(row_hash().alias("row"), "text"), chosen).filter("perhaps")
+    texts = rows.select("row", "text").join(chosen, "row").groupBy("row", "key").agg(F.first("text").alias("text"))
     segments = materialise(
-        texts.mapInArrow(_segments(words), "key binary, part int, n long, grams array<long>").dropDuplicates(["key", "part"]),
+        texts.select("key", "text").mapInArrow(_segments(words), "key binary, part int, n long, grams array<long>"),
         "jaccard-segments",
     )
 
@@ -217,10 +249,11 @@ def link_sets(docs: DataFrame, described: DataFrame, words: int, percent: int, m
     links, tried, labels = None, None, None
     hubs = 1
     for turn in range(max_rounds):
-        pending = materialise(_open_groups(pending, percent), "jaccard-pending")
-        largest = pending.agg(F.max("size")).first()[0]
-        if largest is None:
-            break
+        if turn:  # at first every group is open
+            pending = materialise(_open_groups(pending, percent), "jaccard-pending")
+            largest = pending.agg(F.max("size")).first()[0]
+            if largest is None:
+                break
         overlap = F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos"))
         near = overlap * 100 >= (F.col("n") + F.col("hub_n") - overlap) * percent
         pairs = pending.join(_hubs(pending, hubs), "mark").filter((F.col("label") != F.col("hub_label")) & near)
@@ -273,17 +306,21 @@ def _prefixes(still: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """(mark, key, n, pos, label): the n-grams of each open set by which it can
     meet a linked one, with their places in its order from the rarest on.
     N-grams that no other open set holds come first and meet nobody."""
-    held = segments.join(still.select("key"), "key", "left_semi").select("key", "n", F.explode("grams").alias("mark"))
+    # Two sets with the same 64 bits would only get each other's n-grams too.
+    short = F.xxhash64("key").alias("id")
+    ids = still.select(short, "key", "label")
+    held = segments.join(still.select("key"), "key", "left_semi").select(short, F.explode("grams").alias("mark"))
     counts = held.groupBy("mark").agg(F.count("*").alias("c")).filter("c > 1")
     order = F.sort_array(F.collect_list(F.struct("c", "mark")))
-    common = held.join(counts, "mark").groupBy("key").agg(F.first("n").alias("n"), order.alias("g"))
+    sizes = segments.filter("part = 0").select(short, "n")
+    common = held.join(counts, "mark").groupBy("id").agg(order.alias("g")).join(sizes, "id")
     most = F.expr(f"n * {100 - percent} div 100")
     alone = F.col("n") - F.size("g")
     first = common.filter(alone <= most).select(
-        "key", "n", alone.alias("alone"), F.posexplode(F.slice("g", F.lit(1), (most - alone + 1).cast("int"))).alias("i", "e")
+        "id", "n", alone.alias("alone"), F.posexplode(F.slice("g", F.lit(1), (most - alone + 1).cast("int"))).alias("i", "e")
     )
-    placed = first.select(F.col("e.mark").alias("mark"), "key", "n", (F.col("alone") + F.col("i")).alias("pos"))
-    return materialise(placed.join(still, "key"), "jaccard-prefixes")
+    placed = first.select(F.col("e.mark").alias("mark"), "id", "n", (F.col("alone") + F.col("i")).alias("pos"))
+    return materialise(placed.join(ids, "id").select("mark", "key", "n", "pos", "label"), "jaccard-prefixes")
 
 
 def _hubs(pending: DataFrame, hubs: int) -> DataFrame:
@@ -318,14 +355,28 @@ def components_of(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFra
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` less all but one document of each component: the
-    one with the smallest doc_id stays. Documents without words stay, and so
-    do rows without a doc_id. Rows that repeat doc_id and text count once."""
-    ruled = components_of(docs, words, percent)
-    gone = ruled.filter("n_shingles > 0 AND component_id IS NOT NULL AND doc_id != component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    again = materialise(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "jaccard-again")
-    once = left.join(again, "doc_id", "left_anti")
-    if again.limit(1).count():
-        once = once.unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` less all but one of each component: the one with
+    the smallest doc_id stays (a row without one only if all are without; of
+    several texts with that doc_id one). Rows without words stay. Rows that
+    repeat doc_id and text count once.
+
+    Rows go by their doc_id and text, never by the doc_id alone. Only rows that
+    may be among those to go are shuffled."""
+    described = materialise(describe(docs, words, percent), "jaccard-sets")
+    rooted = link_sets(docs, described, words, percent)
+    sets = described.filter("n > 0").join(rooted, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rows = sets.select("root", "row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("place"))
+    kept = rows.groupBy("root").agg(F.min("place").alias("kept"), F.count("*").alias("n")).filter("n > 1").select("root", "kept")
+    gone = rows.join(kept, "root").filter("place != kept").select("place.doc_id", "row").distinct()
+    again = described.groupBy("row").count().filter("count > 1").select("row")
+    again = materialise(again, "jaccard-again")
+    gone = materialise(gone, "jaccard-gone")
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), F.col("doc_id").alias("its_id"), row_hash().alias("row")
+    )
+    marked = perhaps_among(packed, gone.select("row").union(again))
+    some = marked.filter("perhaps")
+    away = gone.select(F.col("row").alias("gone_row"), F.col("doc_id").alias("gone_id"))
+    some = some.join(away, (F.col("row") == F.col("gone_row")) & F.col("its_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    once = some.dropDuplicates(["row", "its_id"])
+    return marked.filter(~F.col("perhaps")).unionByName(once).select("kept.*")
