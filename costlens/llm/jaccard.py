@@ -249,17 +249,16 @@ def link_sets(docs: DataFrame, described: DataFrame, words: int, percent: int, m
     links, tried, labels = None, None, None
     hubs = 1
     for turn in range(max_rounds):
-        if turn:  # at first every group is open
+        if turn == 0:  # every group is open; one hub a set is enough for most: the least of its groups'
+            pairs = _first_pairs(met, percent)
+        else:
             pending = materialise(_open_groups(pending, percent), "jaccard-pending")
             largest = pending.agg(F.max("size")).first()[0]
             if largest is None:
                 break
-        overlap = F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos"))
-        near = overlap * 100 >= (F.col("n") + F.col("hub_n") - overlap) * percent
-        pairs = pending.join(_hubs(pending, hubs), "mark").filter((F.col("label") != F.col("hub_label")) & near)
-        if turn == 0:
-            # One hub a set is enough for most groups: the least of its groups'.
-            pairs = pairs.groupBy("key").agg(F.min("hub").alias("hub"))
+            overlap = F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos"))
+            near = overlap * 100 >= (F.col("n") + F.col("hub_n") - overlap) * percent
+            pairs = pending.join(_hubs(pending, hubs), "mark").filter((F.col("label") != F.col("hub_label")) & near)
         pairs = pairs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -284,6 +283,14 @@ def link_sets(docs: DataFrame, described: DataFrame, words: int, percent: int, m
     return labels.select(F.col("node").alias("key"), "root")
 
 
+def _first_pairs(met: DataFrame, percent: int) -> DataFrame:
+    """(key, hub): each set with the least member of its groups, where their
+    sizes allow a link."""
+    hub = met.groupBy("mark").agg(F.min(F.struct("key", "n")).alias("h")).select("mark", F.col("h.key").alias("hub"), F.col("h.n").alias("hub_n"))
+    near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
+    return met.join(hub, "mark").filter((F.col("key") != F.col("hub")) & near).groupBy("key").agg(F.min("hub").alias("hub"))
+
+
 def _relabel(pending: DataFrame, labels: DataFrame) -> DataFrame:
     return pending.join(labels.withColumnRenamed("node", "key"), "key", "left").select(
         "mark", "key", "n", "pos", F.coalesce("root", "key").alias("label")
