@@ -205,15 +205,15 @@ def perhaps_among(rows: DataFrame, few: DataFrame) -> DataFrame:
     return marked.withColumn("perhaps", F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))).drop("word", "bits")
 
 
-def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int, few: bool) -> DataFrame:
+def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Linked pairs of ``pairs`` (columns a, b: set keys): partial overlaps of
-    each fragment, summed per pair. Where ``few`` sets are in pairs, only their
-    segments are sent."""
-    left = segments.select(F.col("key").alias("b"), "part", F.col("n").alias("nb"), F.col("grams").alias("gb"))
-    right = segments.select(F.col("key").alias("a"), "part", F.col("n").alias("na"), F.col("grams").alias("ga"))
-    if few:
-        left = left.join(pairs.select("b"), "b", "left_semi")
-        right = right.join(pairs.select("a"), "a", "left_semi")
+    each fragment, summed per pair. Only segments of sets that may be in a pair
+    on that side are sent."""
+    def side(name: str, size: str, grams: str) -> DataFrame:
+        hashed = segments.select(F.xxhash64("key").alias("row"), F.col("key").alias(name), "part", F.col("n").alias(size), F.col("grams").alias(grams))
+        return perhaps_among(hashed, pairs.select(F.xxhash64(name).alias("row"))).filter("perhaps").drop("row", "perhaps")
+
+    left, right = side("b", "nb", "gb"), side("a", "na", "ga")
     partial = (
         pairs.join(left, "b")
         .join(right, ["a", "part"])
@@ -263,7 +263,7 @@ def link_sets(docs: DataFrame, described: DataFrame, words: int, percent: int, m
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "jaccard-pairs")
-        found = materialise(_overlaps(pairs, segments, percent, few=turn > 0), "jaccard-links")
+        found = materialise(_overlaps(pairs, segments, percent), "jaccard-links")
         tried = pairs if tried is None else tried.union(pairs)
         if links is None or found.limit(1).count():
             links = found if links is None else links.union(found)
@@ -316,7 +316,10 @@ def _prefixes(still: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     # Two sets with the same 64 bits would only get each other's n-grams too.
     short = F.xxhash64("key").alias("id")
     ids = still.select(short, "key", "label")
-    held = segments.join(still.select("key"), "key", "left_semi").select(short, F.explode("grams").alias("mark"))
+    # Sets that only may be open count as well: the order is then that of more
+    # sets, and they leave with the last join.
+    held = perhaps_among(segments.withColumn("row", F.xxhash64("key")), still.select(F.xxhash64("key").alias("row"))).filter("perhaps")
+    held = held.select(F.col("row").alias("id"), F.explode("grams").alias("mark"))
     counts = held.groupBy("mark").agg(F.count("*").alias("c")).filter("c > 1")
     order = F.sort_array(F.collect_list(F.struct("c", "mark")))
     sizes = segments.filter("part = 0").select(short, "n")
