@@ -55,6 +55,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Tokenisation and expectation-maximisation are beyond SQL; tests compare
-#: with a brute-force version instead.
+#: Tokenisation and expectation-maximisation are beyond SQL; tests compare the
+#: operators with brute-force versions instead.
 ORACLE_SQL = None
