@@ -26,5 +26,5 @@ def test_stages_keep_the_columns_and_take_effect(spark, tmp_path):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert default_tokenizer().endswith(".json")
