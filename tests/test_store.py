@@ -207,6 +207,44 @@ def test_span_index_reads_do_not_grow_with_history(spark, tmp_path):
     assert store.read("raw_spans").count() == 3002
 
 
+def test_an_upsert_reads_its_batch_from_files(spark, tmp_path):
+    """Buckets and rows come from one evaluation of the batch, written once."""
+    store = TableStore(spark, f"{tmp_path}/tables", rollup_buckets=4)
+    found = []
+    for batch, values in ((1, [("a", 1), ("b", 1)]), (2, [("b", 2), ("c", 2)])):
+        rows = spark.createDataFrame([(k, v, batch) for k, v in values], "k string, v int, _seq int")
+
+        def merged(old, new):
+            found.append(new.inputFiles())
+            return merge.upsert(old, new, ["k"])
+
+        store.upsert("things", rows, ["k"], batch, merged)
+        store.commit(batch)
+    store.upsert("things", rows.limit(0), ["k"], 3, merged)
+    assert len(found) == 2 and all(files and all("things_batch" in f for f in files) for files in found)
+    assert rows_of(store.read_keyed("things")) == sorted([("a", 1), ("b", 2), ("c", 2)])
+    assert store._glob(f"{store.path('things_batch')}/batch=*") == []
+
+
+def test_many_repeated_spans_are_shuffled_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("costlens.sinks.span_index.MAX_BROADCAST", 0)
+    store = TableStore(spark, f"{tmp_path}/tables", rollup_buckets=4)
+    index, plans, write = SpanIndex(store, filter_words=64), [], store.write_batch
+
+    def noted(name, df, *args, **more):
+        if name == "raw_spans":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        write(name, df, *args, **more)
+
+    monkeypatch.setattr(store, "write_batch", noted)
+    for batch, rows in ((0, [("x", 2), ("x", 1), ("y", 1), (None, 1), (None, 1)]), (1, [("y", 5), ("z", 6), ("z", 5), (None, 1)])):
+        index.append(spark.createDataFrame([(i, n, n) for i, n in rows], "span_id string, v int, _seq int"), batch, day_of=None)
+        store.commit(batch)
+    found = [tuple(r) for r in store.read("raw_spans").select("span_id", "v").collect()]
+    assert sorted(found, key=str) == sorted([("x", 1), ("y", 1), ("z", 5), (None, 1), (None, 1), (None, 1)], key=str)
+    assert all("LeftSemi" not in plan for plan in plans)
+
+
 def test_half_bad_line_is_quarantined_whole(spark, cfg):
     good = json.loads(trace_line(span("g", DAY1)))["resourceSpans"][0]
     half = json.dumps({"resourceSpans": [good, {"scopeSpans": 5}]})
