@@ -103,3 +103,22 @@ def test_raw_payload_keeps_the_whole_item(spark, cfg):
     assert [json.loads(r["raw"]) for r in traces.quarantine.collect()] == [bad]
     logs = otlp.parse_logs(lines_df(spark, [log_line([record, dict(record, severityNumber=1)], None)]), cfg)
     assert [json.loads(r["raw_payload"]) for r in logs.good.orderBy("_seq").collect()] == [record, dict(record, severityNumber=1)]
+
+
+def test_fields_of_an_item_are_read_once_whatever_their_type(spark, cfg):
+    """Its texts are not cast one by one, and parts of another type read as the cast gives them."""
+    def line(**more):
+        span = {"spanId": "a", "traceId": "t", "name": "tool", "startTimeUnixNano": 1704067200000000000,
+                "endTimeUnixNano": "1704067201000000000", "attributes": []} | more
+        return json.dumps({"resourceSpans": [{"resource": {"attributes": []}, "scopeSpans": [{"spans": [span]}]}]})
+
+    attrs = [5, None, {"key": "tool_name", "value": {"stringValue": {"b": 1, "a": [2.50]}}}, {"key": "cost_usd", "value": {"doubleValue": 1.50}},
+             {"key": "session.id", "value": "s"}]
+    lines = [line(attributes=attrs), line(spanId=7.10, name=True), line(spanId={"z": 1, "y": None}), line(spanId=None), line(spanId="")]
+    rows = otlp.parse_traces(spark.createDataFrame(list(enumerate(lines)), "seq long, value string"), cfg).rows
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("variant_get(item") <= 1
+    found = {r["_seq"]["seq"]: r for r in rows.collect()}
+    assert [found[n]["span_id"] for n in range(5)] == ["a", "7.1", '{"y":null,"z":1}', None, ""]
+    assert [found[n]["_reason"] for n in range(5)] == [None, None, None, "missing_span_id", "missing_span_id"]
+    assert found[0]["tool_name"] == '{"a":[2.5],"b":1}' and str(found[0]["cost_usd"]) == "1.500000"
+    assert found[0]["session_id"] is None and found[1]["span_name"] == "true"
