@@ -1,39 +1,36 @@
 """N-gram Jaccard join by vertical partitioning.
 
 Every document is its set of distinct word n-grams; two documents link when
-``100 * |A & B| >= percent * |A | B|``. The n-grams have one global order
-(that of a 64-bit hash). It is cut into fragments, so a document's set falls
-into segments; segments of one fragment are compared with each other only,
-and a pair's overlap is the sum of its fragments' partial overlaps.
-
-*Which pairs are counted.* Linked sets of sizes a and b differ in at most
-``(a + b) * (100 - percent) / (100 + percent)`` n-grams. Cut into more
-fragments than that, they agree on a whole fragment. So sizes fall into
-classes, each class has a fragment count above its largest possible
-difference, and documents meet only if they hold an identical segment of the
-same class and fragment; a set is in its own class and, where a linked set can
-be larger than its class, in the next one too. That loses no link and,
-unlike a shared n-gram, a passage that many documents quote does not bring
-them together. ``spare`` fragments allow documents to leave out their empty
-segments; the few with more empty ones than that include them.
+``100 * |A & B| >= percent * |A | B|``. The n-grams' 64-bit hashes are cut
+into fragments, so a document's set falls into segments; segments of one
+fragment are compared with each other only, and a pair's overlap is the sum of
+its fragments' partial overlaps.
+
+*Which pairs are counted.* The n-grams have one global order, in which linked
+sets share one of their first ``n * (100 - percent) / 100 + 1`` n-grams; only
+these are sent, and the places of a shared one bound the overlap from above.
+Any order loses no link. Here n-grams that are frequent come last: each task
+counts its n-grams in a table of fixed size, and what stands out there is
+summed. Sets with too many n-grams that no other of those that met holds leave.
+A passage that many documents quote does not bring them together.
 
 *How groups stay linear.* Equal sets are one class, represented once. At first
-each set is compared with one hub only, the least member of the groups of
-identical segments that it is in; links become components, and groups inside
-one component leave. What is left, such as copies that were edited each in its
-own way and are no longer linked, is ordered anew: the n-grams of the open sets
-by their count among them, rarest first. Linked sets share one of their first
-``n * (100 - percent) / 100 + 1`` n-grams, and its places bound their overlap
-from above. An edit's n-grams are rare and come first, so copies with too many
-of them meet nobody. In a group that holds the same n-gram the members with
-the fewest rarer ones (those nearest to what the group has in common) are hubs,
-sixteen times more of them each round, until every pair that meets is counted, ruled
-out by its bound or inside one component. Nothing is capped.
+each set is compared with one hub only, out of those with the first places in
+its groups; links become components, and groups inside one component leave.
+What is left, such as copies that were edited each in its own way and are no
+longer linked, is ordered anew: the n-grams of the open sets by their exact
+count among them, rarest first. An edit's n-grams are rare and come first, so
+copies with too many of them meet nobody. In a group that holds the same n-gram
+the members with the fewest rarer ones (those nearest to what the group has in
+common) are hubs, sixteen times more of them each round, until every pair that
+meets is counted, ruled out by its bound or inside one component. Nothing is
+capped.
 
 Defined results: null and empty texts, and texts of white space only, have an
 empty set and link with nothing; a null doc_id is reported, never used as a
 component's name unless the component has no other (then null). Repeated rows
-are equal sets. Shingle sets are named by 128 bits, shingles by 64.
+are equal sets. Shingle sets are named by 128 bits (64 where
+they meet), shingles by 64.
 """
 
 from __future__ import annotations
@@ -55,6 +52,8 @@ COUNT_FRAGMENTS = 4
 REMEMBERED = 1 << 18
 #: Steps of 100 / percent by which size classes grow.
 CLASS_STEPS = 3
+#: Counters of the table by which frequent n-grams come last.
+COUNTERS = 1 << 20
 #: Words of 64 bits of the table that rules out rows before they are shuffled.
 BLOOM_WORDS = 1 << 18
 
@@ -114,6 +113,13 @@ def segment_marks(grams: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
 
 
+def first_grams(grams: np.ndarray, late: np.ndarray, percent: int) -> np.ndarray:
+    """Those of the set with the sorted n-grams ``grams`` by which it can meet
+    a linked set, in the order of their counters in ``late``, then their own."""
+    most = len(grams) * (100 - percent) // 100 + 1
+    return grams[np.argsort(late[(grams % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")[:most]]
+
+
 def grams_of(text: np.ndarray | None, words: int) -> np.ndarray:
     if text is None:
         return np.zeros(0, dtype=np.uint64)
@@ -125,7 +131,32 @@ def set_key(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def _describe(words: int, percent: int):
+def _counters(words: int):
+    """(counter, n) of a task's n-grams, where n is well above the average."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for text in hashing.texts(batch.column(0)):
+                np.add.at(counts, (grams_of(text, words) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        above = np.flatnonzero(counts > 4 + 2 * counts.mean())
+        yield pa.RecordBatch.from_arrays([pa.array(above, pa.int64()), pa.array(counts[above], pa.int64())], ["counter", "n"])
+
+    return run
+
+
+def _late(docs: DataFrame, words: int) -> np.ndarray:
+    """Per counter 0, or the binary logarithm of how many n-grams stood out in
+    it: at most one byte a counter, whatever the input."""
+    small_batches(docs.sparkSession)
+    counted = docs.select("text").mapInArrow(_counters(words), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    table = counted.select(F.col("counter").cast("int").alias("counter"), F.log2("n").cast("byte").alias("n")).toArrow()
+    late = np.zeros(COUNTERS, dtype=np.uint8)
+    late[table.column("counter").to_numpy()] = table.column("n").to_numpy()
+    return late
+
+
+def _describe(words: int, percent: int, late):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
@@ -141,7 +172,7 @@ def _describe(words: int, percent: int):
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(key)
-                lists.append(segment_marks(grams, percent).view(np.int64))
+                lists.append(first_grams(grams, late.value, percent).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             marks = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists) if lists else [], type=pa.int64()))
             yield pa.RecordBatch.from_arrays(
@@ -152,6 +183,25 @@ def _describe(words: int, percent: int):
     return run
 
 
+def _sample_of_order(words: int, percent: int):
+    """(key, grams) of each text: its n-grams in the first part of the order of
+    hashes, half as large again as the share in which linked sets may differ."""
+    share = min(100, (100 - percent) * 3 // 2 + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lists = [], []
+            for text in hashing.texts(batch.column(0)):
+                grams = grams_of(text, words)
+                keys.append(set_key(grams))
+                lists.append(grams[fragment_of(grams, 100) < share].view(np.int64))
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+            values = pa.array(np.concatenate(lists) if lists else [], type=pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["key", "grams"])
+
+    return run
+
+
 def _segments(words: int):
     """(key, fragment, n, grams) of each text, for counting partial overlaps."""
 
@@ -184,12 +234,13 @@ def row_hash() -> Column:
 
 
 def describe(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per row: doc_id, the row's hash, size and key of its set, and the marks
-    of its segments (empty where the same task has sent the same set before)."""
+    """Per row: doc_id, the row's hash, size and key of its set, and the
+    n-grams it sends, in order (none where the same task has sent the same set before)."""
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    late = docs.sparkSession.sparkContext.broadcast(_late(docs, words))
     return docs.select("doc_id", row_hash().alias("row"), "text").mapInArrow(
-        _describe(words, percent), f"doc_id {kind}, row long, n long, key binary, marks array<long>"
+        _describe(words, percent, late), f"doc_id {kind}, row long, n long, key binary, marks array<long>"
     )
 
 
@@ -226,18 +277,23 @@ def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 def link_sets(docs: DataFrame, described: DataFrame, words: int, percent: int, max_rounds: int = 24) -> DataFrame:
     """(key, root) of every set that links to another one, root being one
     member's key for each component."""
-    # Marks travel with 64 bits of the key; the few that are shared get the
-    # whole key back. Two keys with the same 64 bits only meet more sets.
+    # Marks travel once, with 64 bits of the key; the few that are shared get
+    # the whole key back.
     short = F.xxhash64("key").alias("id")
-    marks = described.select(short, F.explode("marks").alias("mark"))
-    shared = marks.groupBy("mark").agg(F.count("*").alias("c")).filter("c > 1").select("mark")
+    # The changing columns stand side by side, which compresses best.
+    marks = described.select(short, "n", F.posexplode("marks").alias("pos", "mark")).select("id", "n", "mark", "pos").repartition("mark")
+    group = Window.partitionBy("mark")
+    shared = marks.select("*", F.min("id").over(group).alias("lo"), F.max("id").over(group).alias("hi"), F.min("n").over(group).alias("least_n"))
     # A set that several tasks sent counts once; groups of one set leave.
-    ids = marks.join(shared, "mark").distinct()
-    sets = described.filter("n > 0").select(short, "key", "n").distinct()
-    met = materialise(ids.join(sets, "id").select("mark", "key", "n"), "jaccard-met")
-
-    members = described.filter("n > 0").join(met.select("key").distinct(), "key", "left_semi")
-    chosen = materialise(members.groupBy("key").agg(F.min("row").alias("row")), "jaccard-chosen")
+    first = shared.filter((F.col("lo") != F.col("hi")) & _possible(percent)).select("mark", "id", "n", F.col("pos").cast("long").alias("pos"))
+    first = materialise(first.distinct(), "jaccard-first")
+    sets = described.filter("n > 0").select(short, "key", "n", "row").join(first.select("id").distinct(), "id", "left_semi")
+    sets = materialise(sets.groupBy("id", "key", "n").agg(F.min("row").alias("row")), "jaccard-sets-met")
+    alive = _not_alone(docs, sets, words, percent)
+    met = first.drop("n").join(alive, "id").select("mark", "key", "n", "pos", F.col("key").alias("label"))
+    met = materialise(_open_groups(met, percent), "jaccard-met")
+
+    chosen = materialise(sets.join(met.select("key").distinct(), "key", "left_semi").select("row", "key"), "jaccard-chosen")
     rows = perhaps_among(docs.select(row_hash().alias("row"), "text"), chosen).filter("perhaps")
     texts = rows.select("row", "text").join(chosen, "row").groupBy("row", "key").agg(F.first("text").alias("text"))
     segments = materialise(
@@ -245,20 +301,20 @@ def link_sets(docs: DataFrame, described: DataFrame, words: int, percent: int, m
         "jaccard-segments",
     )
 
-    pending = met.select("mark", "key", "n", F.lit(0).cast("long").alias("pos"), F.col("key").alias("label"))
+    pending = met
     links, tried, labels = None, None, None
     hubs = 1
     for turn in range(max_rounds):
-        if turn == 0:  # every group is open; one hub a set is enough for most: the least of its groups'
-            pairs = _first_pairs(met, percent)
-        else:
+        if turn:
             pending = materialise(_open_groups(pending, percent), "jaccard-pending")
             largest = pending.agg(F.max("size")).first()[0]
             if largest is None:
                 break
-            overlap = F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos"))
-            near = overlap * 100 >= (F.col("n") + F.col("hub_n") - overlap) * percent
-            pairs = pending.join(_hubs(pending, hubs), "mark").filter((F.col("label") != F.col("hub_label")) & near)
+        overlap = F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos"))
+        near = overlap * 100 >= (F.col("n") + F.col("hub_n") - overlap) * percent
+        pairs = pending.join(_hubs(pending, hubs), "mark").filter((F.col("label") != F.col("hub_label")) & near)
+        if turn == 0:  # every group is open; one hub a set is enough for most
+            pairs = pairs.groupBy("key").agg(F.min("hub").alias("hub"))
         pairs = pairs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -283,12 +339,17 @@ def link_sets(docs: DataFrame, described: DataFrame, words: int, percent: int, m
     return labels.select(F.col("node").alias("key"), "root")
 
 
-def _first_pairs(met: DataFrame, percent: int) -> DataFrame:
-    """(key, hub): each set with the least member of its groups, where their
-    sizes allow a link."""
-    hub = met.groupBy("mark").agg(F.min(F.struct("key", "n")).alias("h")).select("mark", F.col("h.key").alias("hub"), F.col("h.n").alias("hub_n"))
-    near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
-    return met.join(hub, "mark").filter((F.col("key") != F.col("hub")) & near).groupBy("key").agg(F.min("hub").alias("hub"))
+def _not_alone(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, key, n) of those of ``sets`` that may link. A linked set has at most
+    ``n * (100 - percent) / 100`` n-grams that no other one holds; most texts
+    have more already in the first part of the order, which alone is sent."""
+    rows = perhaps_among(docs.select(row_hash().alias("row"), "text"), sets).filter("perhaps")
+    held = rows.select("text").mapInArrow(_sample_of_order(words, percent), "key binary, grams array<long>")
+    held = held.select(F.xxhash64("key").alias("id"), F.explode("grams").alias("mark")).repartition("mark")
+    # Rows that are no member's only make n-grams less rare.
+    alone = held.groupBy("mark").agg(F.min("id").alias("id"), F.max("id").alias("hi")).filter("id = hi")
+    alone = alone.groupBy("id").agg(F.count("*").alias("alone"))
+    return sets.join(alone, "id", "left").filter(f"coalesce(alone, 0) <= n * {100 - percent} div 100").select("id", "key", "n")
 
 
 def _relabel(pending: DataFrame, labels: DataFrame) -> DataFrame:
@@ -297,6 +358,11 @@ def _relabel(pending: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def _possible(percent: int) -> Column:
+    """May a set at ``pos`` of its group link to one of ``least_n`` or more?"""
+    return (F.col("n") - F.col("pos")) * 100 >= F.greatest(F.col("n"), F.col("least_n") + F.col("pos")) * percent
+
+
 def _open_groups(pending: DataFrame, percent: int) -> DataFrame:
     """The members, with their group's ``size``, of groups that are not inside
     one component, less those whose place rules out every member's size."""
@@ -305,8 +371,7 @@ def _open_groups(pending: DataFrame, percent: int) -> DataFrame:
         F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), F.min("n").alias("least_n")
     )
     spread = spread.filter("lo != hi").select("mark", "size", "least_n")
-    possible = (F.col("n") - F.col("pos")) * 100 >= F.greatest(F.col("n"), F.col("least_n") + F.col("pos")) * percent
-    return rows.join(spread, "mark").filter(possible).drop("least_n")
+    return rows.join(spread, "mark").filter(_possible(percent)).drop("least_n")
 
 
 def _prefixes(still: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -320,10 +385,10 @@ def _prefixes(still: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     # sets, and they leave with the last join.
     held = perhaps_among(segments.withColumn("row", F.xxhash64("key")), still.select(F.xxhash64("key").alias("row"))).filter("perhaps")
     held = held.select(F.col("row").alias("id"), F.explode("grams").alias("mark"))
-    counts = held.groupBy("mark").agg(F.count("*").alias("c")).filter("c > 1")
+    counted = held.repartition("mark").withColumn("c", F.count("*").over(Window.partitionBy("mark"))).filter("c > 1")
     order = F.sort_array(F.collect_list(F.struct("c", "mark")))
     sizes = segments.filter("part = 0").select(short, "n")
-    common = held.join(counts, "mark").groupBy("id").agg(order.alias("g")).join(sizes, "id")
+    common = counted.groupBy("id").agg(order.alias("g")).join(sizes, "id")
     most = F.expr(f"n * {100 - percent} div 100")
     alone = F.col("n") - F.size("g")
     first = common.filter(alone <= most).select(
