@@ -46,7 +46,7 @@ CAPACITY = 2048
 #: Rows of one (length, salt) group, about.
 GROUP_ROWS = 200_000
 #: Distinct words a Python worker remembers the ids of, from task to task.
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 200_000
 
 #: Bytes of text that are tokenised together; longer texts are cut.
 LONG = 1 << 22
@@ -80,7 +80,9 @@ class WordEncoder:
     feed, so the ids of a text are those of its blank-separated parts in
     order. Arrow splits a batch and numbers its distinct parts; only those are
     looked up, and new ones tokenised. Their ids stand one after another in
-    ``flat``, from which one gather makes the ids of all texts."""
+    ``flat``, from which one gather makes the ids of all texts. Most parts of
+    a large input come once; where too many are remembered, those that came in
+    several batches stay."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -101,6 +103,17 @@ class WordEncoder:
         self.slot_of: dict[str, int] = {"": 1}
         self.starts, self.lengths = np.array([0, 1], np.int64), np.array([1, 0], np.int64)
         self.flat = np.zeros(1, np.uint32)
+        self.seen = np.zeros(2, np.uint32)
+
+    def make_room(self) -> None:
+        """Keep the parts that came in several batches since room was last made,
+        the most frequent ones, up to half of what may be remembered."""
+        names = list(self.slot_of)  # in the order of their slots, from 1 on
+        slots = np.argsort(self.seen, kind="stable")[::-1][: REMEMBERED_WORDS // 2]
+        slots = np.sort(slots[self.seen[slots] > 1])
+        starts, lengths, flat = self.starts[slots], self.lengths[slots], self.flat
+        self.forget()
+        self._add([names[s - 1] for s in slots.tolist()], [flat[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist())])
 
     def _add(self, parts: list[str], ids: list[list[int]]) -> None:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -108,6 +121,7 @@ class WordEncoder:
         ends = len(self.flat) + np.cumsum(sizes)
         self.starts = np.concatenate([self.starts, ends - sizes])
         self.lengths = np.concatenate([self.lengths, sizes])
+        self.seen = np.concatenate([self.seen, np.zeros(len(parts), np.uint32)])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
 
     def learn(self, new: list[str]) -> None:
@@ -115,18 +129,22 @@ class WordEncoder:
         tokenize = self.tokenizer.model.tokenize
         self._add(words, [[t.id for t in tokenize(byte_level(w))] for w in words])
         others = [p for p in new if p not in self.slot_of]
-        for at in range(0, len(others), 20_000):
-            batch = others[at : at + 20_000]
+        for at in range(0, len(others), 2_000):
+            batch = others[at : at + 2_000]
             self._add(batch, [e.ids for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)])
 
     def _slots(self, parts: list[str]) -> np.ndarray:
         new = [p for p in parts if p not in self.slot_of]
         if new:
             if len(self.slot_of) + len(new) > REMEMBERED_WORDS:
-                self.forget()
-                new = [p for p in parts if p]
+                self.make_room()
+                if len(self.slot_of) + len(new) > REMEMBERED_WORDS:
+                    self.forget()
+                new = [p for p in parts if p not in self.slot_of]
             self.learn(new)
-        return np.fromiter(map(self.slot_of.__getitem__, parts), np.int64, len(parts))
+        slots = np.fromiter(map(self.slot_of.__getitem__, parts), np.int64, len(parts))
+        self.seen[slots[slots > 1]] += 1
+        return slots
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, an end id after each, and where each one ends."""
