@@ -183,10 +183,9 @@ def _describe(words: int, percent: int, late):
     return run
 
 
-def _sample_of_order(words: int, percent: int):
-    """(key, grams) of each text: its n-grams in the first part of the order of
-    hashes, half as large again as the share in which linked sets may differ."""
-    share = min(100, (100 - percent) * 3 // 2 + 1)
+def _part_of_order(words: int, since: int, upto: int):
+    """(key, grams) of each text: its n-grams from ``since`` to ``upto`` percent
+    of the order of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +193,8 @@ def _sample_of_order(words: int, percent: int):
             for text in hashing.texts(batch.column(0)):
                 grams = grams_of(text, words)
                 keys.append(set_key(grams))
-                lists.append(grams[fragment_of(grams, 100) < share].view(np.int64))
+                at = fragment_of(grams, 100)
+                lists.append(grams[(at >= since) & (at < upto)].view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             values = pa.array(np.concatenate(lists) if lists else [], type=pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["key", "grams"])
@@ -341,15 +341,25 @@ def link_sets(docs: DataFrame, described: DataFrame, words: int, percent: int, m
 
 def _not_alone(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """(id, key, n) of those of ``sets`` that may link. A linked set has at most
-    ``n * (100 - percent) / 100`` n-grams that no other one holds; most texts
-    have more already in the first part of the order, which alone is sent."""
-    rows = perhaps_among(docs.select(row_hash().alias("row"), "text"), sets).filter("perhaps")
-    held = rows.select("text").mapInArrow(_sample_of_order(words, percent), "key binary, grams array<long>")
-    held = held.select(F.xxhash64("key").alias("id"), F.explode("grams").alias("mark")).repartition("mark")
-    # Rows that are no member's only make n-grams less rare.
-    alone = held.groupBy("mark").agg(F.min("id").alias("id"), F.max("id").alias("hi")).filter("id = hi")
-    alone = alone.groupBy("id").agg(F.count("*").alias("alone"))
-    return sets.join(alone, "id", "left").filter(f"coalesce(alone, 0) <= n * {100 - percent} div 100").select("id", "key", "n")
+    ``n * (100 - percent) / 100`` n-grams that no other one holds. Most texts
+    have more already in the first part of the order, half as large again as
+    that share, which alone is sent of all sets. The sets that are left send
+    twice as much again: where the input is large, chance gives many texts a
+    good part of their n-grams in common with some other one."""
+    share = min(100, (100 - percent) * 3 // 2 + 1)
+    alive = sets.withColumn("alone", F.lit(0).cast("long"))
+    since = 0
+    for upto in sorted({share, min(100, 3 * share)}):
+        rows = perhaps_among(docs.select(row_hash().alias("row"), "text"), alive).filter("perhaps")
+        held = rows.select("text").mapInArrow(_part_of_order(words, since, upto), "key binary, grams array<long>")
+        held = held.select(F.xxhash64("key").alias("id"), F.explode("grams").alias("mark")).repartition("mark")
+        # Rows that are no member's only make n-grams less rare.
+        alone = held.groupBy("mark").agg(F.min("id").alias("id"), F.max("id").alias("hi")).filter("id = hi")
+        alone = alone.groupBy("id").agg(F.count("*").alias("more"))
+        counted = alive.join(alone, "id", "left").withColumn("alone", F.col("alone") + F.coalesce("more", F.lit(0))).drop("more")
+        alive = materialise(counted.filter(f"alone <= n * {100 - percent} div 100"), "jaccard-not-alone")
+        since = upto
+    return alive.select("id", "key", "n")
 
 
 def _relabel(pending: DataFrame, labels: DataFrame) -> DataFrame:
